@@ -33,7 +33,7 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
     for row in frame.itertuples(index=False, name=None):
         cells = []
         for value in row:
-            if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+            if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
                 cells.append("~")
             elif isinstance(value, pd.Timestamp):
                 cells.append(value.isoformat())

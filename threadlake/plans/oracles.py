@@ -347,7 +347,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "parse_roundtrip": _with(
             V,
-            r"""SELECT unit_idx, msg_no, ts, sender, kind, omitted, filename, has_seconds,
+            r"""SELECT unit_idx, row_number() OVER (PARTITION BY unit_idx ORDER BY msg_no) - 1 AS msg_no,
+                ts, sender, kind, omitted, filename, has_seconds,
                 rtrim(text, concat(' ', chr(9), chr(10), chr(13))) AS text FROM v""",
         ),
         "date_order_sniff": f"""
@@ -599,7 +600,8 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
             """SELECT conv_id AS chat_id, msg_idx,
                  row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx) - 1 AS media_idx,
                  CASE WHEN filename IS NOT NULL THEN
-                   count(filename) OVER (PARTITION BY conv_id ORDER BY msg_idx) - 1 END AS viewable_idx
+                   count(filename) OVER (PARTITION BY conv_id ORDER BY msg_idx) - 1
+                   ELSE -1 END AS viewable_idx
                FROM m WHERE kind = 'media'""",
         ),
         "sender_runs": _with(
@@ -607,7 +609,7 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
             f"""SELECT chat_id, msg_idx, sender, run_start,
                  CASE WHEN kind <> 'system' THEN
                    CAST(sum(CASE WHEN run_start THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY msg_idx)
-                     AS BIGINT) END AS run_no
+                     AS BIGINT) ELSE 0 END AS run_no
                FROM (SELECT *, kind <> 'system' AND (pt IS NULL OR CAST(ts AS DATE) <> CAST(pt AS DATE)
                    OR sender IS DISTINCT FROM ps OR pk = 'system'
                    OR floor(epoch(ts)) - floor(epoch(pt)) > {p.RUN_GAP_SECONDS}) AS run_start
@@ -616,7 +618,7 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
         ),
         "day_labels": _with(
             MERGED,
-            f"""SELECT conv_id AS chat_id, CAST(ts AS DATE) AS day, min(msg_idx) AS first_idx, count(*) AS n,
+            f"""SELECT conv_id AS chat_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, min(msg_idx) AS first_idx, count(*) AS n,
                  {day_label('arg_min(ts, msg_idx)')} AS label
                FROM m GROUP BY conv_id, CAST(ts AS DATE)""",
         ),
@@ -642,10 +644,10 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
         "payload_codes": _with(
             CHATS,
             f"""SELECT m.conv_id AS chat_id, m.msg_idx, CAST(epoch(m.ts) AS BIGINT) AS t,
-                 pe.person_idx AS w,
+                 coalesce(pe.person_idx, -1) AS w,
                  CASE m.kind WHEN 'system' THEN 'y' WHEN 'media' THEN 'm' END AS k,
                  nullif(m.text, '') AS b,
-                 CASE WHEN m.sender = '{OWNER}' THEN 1 END AS o,
+                 CASE WHEN m.sender = '{OWNER}' THEN 1 ELSE 0 END AS o,
                  array_to_string(m.sources, ',') AS r
                FROM m LEFT JOIN people pe ON m.conv_id = pe.conv_id AND m.sender = pe.sender""",
         ),

@@ -628,7 +628,8 @@ def latest_media_per_chat(spark, folder):
 
 @query
 def media_ordinals(spark, folder):
-    return V.media_ordinals(_linked(_messages(spark, folder)[0]))
+    ordinals = V.media_ordinals(_linked(_messages(spark, folder)[0]))
+    return ordinals.withColumn("viewable_idx", F.coalesce("viewable_idx", F.lit(-1).cast("bigint")))
 
 
 def _event_messages(spark, folder) -> DataFrame:
@@ -647,12 +648,14 @@ def _event_messages(spark, folder) -> DataFrame:
 
 @query
 def sender_runs(spark, folder):
-    return V.sender_runs(_event_messages(spark, folder))
+    runs = V.sender_runs(_event_messages(spark, folder))
+    return runs.withColumn("run_no", F.coalesce("run_no", F.lit(0).cast("bigint")))
 
 
 @query
 def day_labels(spark, folder):
-    return V.day_separators(_messages(spark, folder)[0], NOW)
+    days = V.day_separators(_messages(spark, folder)[0], NOW)
+    return days.withColumn("day", F.col("day").cast("string"))
 
 
 @query
@@ -687,10 +690,10 @@ def payload_codes(spark, folder):
         "chat_id",
         "msg_idx",
         "item.t",
-        "item.w",
+        F.coalesce("item.w", F.lit(-1).cast("bigint")).alias("w"),
         "item.k",
         "item.b",
-        "item.o",
+        F.coalesce("item.o", F.lit(0)).alias("o"),
         joined("item.r").alias("r"),
     )
 
