@@ -90,16 +90,21 @@ def plain_text(text: Column) -> Column:
     fenced = F.regexp_replace(fenced, p.URL, f"{_LINK_START}$1{_LINK_END}")
     for mark in p.INLINE_MARKS:
         fenced = _unmark(fenced, f"\\{mark}")
-    return F.translate(fenced, _FENCES, "")
+    # Most bodies hold no markup character at all.
+    has_markup = text.rlike(f"[`{_FENCES}{''.join(p.INLINE_MARKS)}]")
+    return F.when(has_markup, F.translate(fenced, _FENCES, "")).otherwise(text)
 
 
 def _unmark(text: Column, mark: str) -> Column:
-    inner = rf"(?:{_CODE}|[^{mark}\n{_FENCES}])"
+    """Drop one kind of mark; every loop is over a plain class, so none recurses deeply."""
+    run = rf"[^{mark}\n{_FENCES}]*"
     solid = rf"(?:{_CODE}|[^{p.VIEW_WS}{_FENCES}])"
-    before = rf"(\A|(?<={_LINK_END})|[{p.VIEW_WS}(\[])"
-    after = rf"(?=\z|{_LINK_START}|[{p.VIEW_WS}.,!?;:)\]])"
-    pair = rf"{before}{mark}({solid}(?:{inner}*{solid})?){mark}{after}"
-    return F.regexp_replace(text, rf"({_LINK}|{_CODE})|{pair}", "$1$2$3")
+    before = rf"(?<=\A|[{_LINK_END}{p.VIEW_WS}(\[])"
+    after = rf"(?=\z|[{_LINK_START}{p.VIEW_WS}.,!?;:)\]])"
+    inside = rf"({solid}(?:{run}(?:{_CODE}{run})*{solid})?)"
+    any_start = rf"(?=[{_LINK_START}{_CODE_START}{mark}])"
+    pattern = rf"{any_start}(?:({_LINK}|{_CODE})|{before}{mark}{inside}{mark}{after})"
+    return F.regexp_replace(text, pattern, "$1$2")
 
 
 def is_jumbo(text: Column) -> Column:

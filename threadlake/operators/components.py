@@ -53,26 +53,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(kept).filter("a <> b").distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-        F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("s"),
-    ).first()
-    return tuple(row)
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node points at one root and no root points anywhere."""
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+                F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    per_node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return per_node.filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, root)`` for every node with an edge; root is the smallest member."""
-    current = materialize(
-        edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(),
-        "edges",
+    """``(node, root)`` for every node with an edge; root is the smallest member.
+
+    ``edges`` is read several times and should be a written table.
+    """
+    current = (
+        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+        .filter("a <> b")
+        .distinct()
     )
-    seen = _fingerprint(current)
-    while seen[0]:
+    while not _is_settled(current):
         current = materialize(_small_star(_large_star(current)), "edges")
-        now = _fingerprint(current)
-        if now == seen:
-            break
-        seen = now
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
