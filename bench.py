@@ -56,7 +56,7 @@ def replicate(spark, folder: str, copies: int) -> str:
         more = table.select("*", copy).withColumn(key, F.col(key) + F.col("_copy") * step)
         if name == "events":
             more = more.withColumn("user_id", F.col("user_id") + F.col("_copy") * 9240)
-        more.drop("_copy").write.parquet(f"{target}/{name}.parquet")
+        more.drop("_copy").repartition(64).write.parquet(f"{target}/{name}.parquet")
     return target
 
 

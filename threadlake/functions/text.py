@@ -18,13 +18,21 @@ def strip_right(text: Column) -> Column:
     return F.rtrim(text, F.lit(p.WHITESPACE))
 
 
+def _upper_then_lower(text: Column) -> Column:
+    # The optimizer turns a bare lower(upper(x)) into lower(x), which is not the same.
+    return F.lower(F.concat(F.upper(text), F.lit("")))
+
+
 def casefold(text: Column) -> Column:
     """Caseless form: full upper-casing, then lower-casing, unifies ß/ss and σ/ς.
 
     The dotless i is shielded because upper-casing would turn it into a plain i.
     """
     shielded = F.translate(text, _DOTLESS_I, _STAND_IN)
-    return F.translate(F.lower(F.upper(shielded)), _STAND_IN, _DOTLESS_I)
+    return F.when(
+        F.contains(text, F.lit(_DOTLESS_I)),
+        F.translate(_upper_then_lower(shielded), _STAND_IN, _DOTLESS_I),
+    ).otherwise(_upper_then_lower(text))
 
 
 def strip_marks(text: Column) -> Column:
@@ -32,17 +40,18 @@ def strip_marks(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{p.WS}]+", " ")
+    return F.regexp_replace(text, p.WHITESPACE_RUN, " ")
 
 
 def normalize_text(text: Column) -> Column:
     """The form in which two bodies count as the same text."""
-    visible = F.regexp_replace(text, p.INVISIBLE, "")
-    return casefold(strip(collapse_whitespace(visible)))
+    # The look-ahead settles printable ASCII with one comparison.
+    visible = F.regexp_replace(casefold(text), f"(?![ -~]){p.INVISIBLE}", "")
+    return strip(collapse_whitespace(visible))
 
 
 def normalize_title(title: Column) -> Column:
-    return casefold(strip(collapse_whitespace(title)))
+    return strip(collapse_whitespace(casefold(title)))
 
 
 def is_placeholder_title(title: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Message copies are merged in hash maps of this many keys before sorting takes over.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # A binary file is one row, so keep Arrow batches of them small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -49,6 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_folder(spark).rstrip('/')}/threadlake-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -57,6 +63,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     knows its size.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "threadlake", f"{name}-{uuid.uuid4().hex}")
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(path, True)
