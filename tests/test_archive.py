@@ -169,7 +169,9 @@ def test_media_catalog_and_report(made, spark):
     filled = media.inline_sources(catalog, contents)
     uri = filled.filter("media_key = 'h1'").first().src
     assert uri.startswith("data:image/jpeg;base64,") and not set(uri) & set("\r\n ")
-    linked = media.link_sources(messages, filled)
+    by_key = media.link_sources(messages, filled).filter("chat_id = 2 and msg_idx = 0").first()
+    assert by_key.attachment.src == "#h1"
+    linked = media.link_sources(messages, filled, embed=True)
     got = {(r.chat_id, r.msg_idx): (r.attachment.src[:4], r.attachment.kind) for r in linked.filter("attachment is not null").collect()}
     assert got == {(0, 2): ("data", "image"), (0, 3): ("", "image"), (2, 0): ("data", "image"), (2, 1): ("", "video"), (2, 2): ("", "missing")}
     names = media.media_catalog(messages, chats, "external")

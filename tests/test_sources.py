@@ -84,7 +84,11 @@ def test_messages_are_merged_and_media_resolved(archive):
         ("", "media", [1, 2]),
         ("done", "text", [1]),
     ]
-    assert rows[3].attachment.src == "data:image/jpeg;base64,YWJj" and rows[4].attachment.size == 5
+    assert rows[3].attachment.src == "#" + rows[3].attachment.content_hash and rows[4].attachment.size == 5
+    uris = {r.media_key: r.src for r in archive.media_catalog.collect()}
+    assert uris[rows[3].attachment.content_hash] == "data:image/jpeg;base64,YWJj"
+    pages = [r.document for r in archive.documents().collect()]
+    assert sum(page.count("data:image/jpeg;base64,YWJj") for page in pages) == 1
     assert rows[5].edited and (chat.is_group, chat.n_sources, chat.n_messages) == (False, 2, 6)
     assert archive.owner == "Rui"
     assert [r.outgoing for r in rows] == [False, False, True, True, False, True]
@@ -114,6 +118,13 @@ def test_single_files_and_options(spark, folder):
     assert [(r.name, r.status, r.src) for r in catalog] == [("00000019-PHOTO-1.jpg", "copied", "media/00000019-PHOTO-1.jpg")]
 
 
+def test_overlapping_inputs_are_read_once_but_count_twice(spark, folder):
+    sub = folder / "s1"
+    got = S.read_exports(spark, [str(sub), str(sub / "_chat.txt"), str(folder / "s2") + "/"])
+    assert [r.label for r in got.units.orderBy("unit_idx").collect()] == ["_chat.txt", "_chat.txt (2)", "_chat.txt (3)"]
+    assert got.transcripts.count() == 3
+
+
 def test_empty_folder(spark, tmp_path):
     got = S.read_exports(spark, [str(tmp_path)])
     assert got.units.isEmpty() and [r.code for r in got.warnings.collect()] == ["empty_folder"]

@@ -161,13 +161,24 @@ def inline_sources(catalog: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
-def link_sources(messages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Write the catalogue's link into each attachment; omitted ones become missing."""
+def link_sources(messages: DataFrame, catalog: DataFrame, embed: bool = False) -> DataFrame:
+    """Write each attachment's link; omitted attachments become missing.
+
+    An inlined file is linked as ``#key``, its row in the catalogue, so that its
+    bytes exist once.  ``embed`` repeats the data URI in every message instead.
+    """
     att = F.col("attachment")
     key = F.coalesce(F.nullif(att["content_hash"], F.lit("")), att["path"])
     linkable = att.isNotNull() & ~att["omitted"] & att["path"].isNotNull()
-    keyed = messages.withColumn("_key", F.when(linkable, key))
-    links = catalog.select(F.col("media_key").alias("_key"), F.col("src").alias("_src"))
+    # Messages without a file get keys of their own that match nothing; nulls
+    # would all meet in one task.
+    spread = F.concat(F.lit("\0"), F.pmod(F.hash("chat_id", "msg_idx"), F.lit(1 << 16)).cast("string"))
+    keyed = messages.withColumn("_key", F.when(linkable, key).otherwise(spread))
+    link = F.col("src")
+    if not embed:
+        inlined = F.col("status") == "inlined"
+        link = F.when(inlined, F.concat(F.lit("#"), "media_key")).otherwise(link)
+    links = catalog.select(F.col("media_key").alias("_key"), link.alias("_src"))
     unusable = att["omitted"] | (F.coalesce(att["filename"], F.lit("")) == "")
     return (
         keyed.join(links, "_key", "left")

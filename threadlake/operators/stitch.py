@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import patterns as p
@@ -26,7 +26,7 @@ from threadlake.functions import text as X
 from threadlake.functions.fuzzy import similarity
 from threadlake.operators.components import star_components
 from threadlake.operators.dedup import with_keys
-from threadlake.operators.ranking import dense_index, global_index
+from threadlake.operators.ranking import bucketed_index, dense_index, global_index
 from threadlake.session import materialize
 
 
@@ -158,14 +158,17 @@ def _rarest_first(keys: DataFrame, profiles: DataFrame) -> DataFrame:
     ).select("unit_idx", "urank")
     holders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
     sizes = keys.groupBy("unit_idx").agg(F.count(F.lit(1)).alias("size"))
-    common = (
-        keys.join(holders.filter("holders > 1"), "key")
-        .join(sizes, "unit_idx")
-        .withColumn("n_common", F.count(F.lit(1)).over(Window.partitionBy("unit_idx")))
-        .withColumn(
-            "rarity",
-            F.row_number().over(Window.partitionBy("unit_idx").orderBy("holders", "key")),
-        )
+    held = keys.join(holders.filter("holders > 1"), "key")
+    n_common = held.groupBy("unit_idx").agg(F.count(F.lit(1)).alias("n_common"))
+    # Keys are hashes, so their first bits cut even one very large export evenly.
+    first_bits = F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("bigint")
+    common = bucketed_index(
+        held.join(sizes.join(n_common, "unit_idx"), "unit_idx"),
+        ["unit_idx"],
+        F.col("holders") * 16 + F.floor(first_bits / 16),
+        ["holders", "key"],
+        "rarity",
+        start=1,
     )
     # Fewest shared keys that can reach the threshold when this export is the
     # smaller one; rounding is to the safe side, the final test is exact.

@@ -34,9 +34,13 @@ class Archive:
     def media_report(self) -> DataFrame:
         return media.media_report(self.messages, self.media_catalog)
 
-    def documents(self, page_rows: int = K.PAGE_ROWS) -> DataFrame:
+    def documents(self, page_rows: int = K.PAGE_ROWS, embed: bool = True) -> DataFrame:
+        """JSON pages; ``embed`` puts the bytes of inlined files into the messages."""
+        messages = self.messages
+        if embed:
+            messages = media.link_sources(messages, self.media_catalog, embed=True)
         return K.chat_documents(
-            self.messages, self.chats, self.participants, self.unit_chat, page_rows
+            messages, self.chats, self.participants, self.unit_chat, page_rows
         )
 
     def header(self, title: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import display as D
@@ -18,7 +18,7 @@ from threadlake.operators import chats as C
 from threadlake.operators import dedup, media, owner, stitch
 from threadlake.operators import transcripts as P
 from threadlake.operators import views as V
-from threadlake.operators.ranking import bucketed_index
+from threadlake.operators.ranking import bucketed_index, dense_index, with_previous
 from threadlake.plans import fixtures as fx
 from threadlake.plans.archive import merge_exports
 from threadlake.session import materialize
@@ -146,12 +146,11 @@ def same_people_edges(spark, folder):
 
 def _neighbours(profiles: DataFrame) -> DataFrame:
     """Each export with the one before it that has the same people."""
-    same = Window.partitionBy("people_key").orderBy("unit_idx")
-    return (
-        profiles.filter(F.col("people_key").isNotNull())
-        .withColumn("a", F.lag("unit_idx").over(same))
-        .filter(F.col("a").isNotNull())
-        .select("a", F.col("unit_idx").alias("b"))
+    known = profiles.filter(F.col("people_key").isNotNull()).select("people_key", "unit_idx")
+    placed = dense_index(known, ["people_key"], "unit_idx", "pos")
+    linked = with_previous(placed, ["people_key"], "pos", ["unit_idx"])
+    return linked.filter(F.col("prev_unit_idx").isNotNull()).select(
+        F.col("prev_unit_idx").alias("a"), F.col("unit_idx").alias("b")
     )
 
 
