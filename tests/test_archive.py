@@ -110,6 +110,8 @@ def test_search(made):
     assert hits("img") == [("Ana", 2, "«IMG» 1.jpg"), ("Eva, Gil, Hal +1", 0, "«IMG»-1.jpg")]
     assert hits("o", limit=9) == [] and hits("ello", which="group") == []
     assert len(hits("mg", limit=1)) == 1
+    plan = V.search(messages, chats, "hello")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan
 
 
 def test_snippet_keeps_its_place_behind_accents(spark):

@@ -148,9 +148,10 @@ def snippet(text: Column, needle: str) -> Column:
     )
     aligned = fuzzy.align_fold(text)
     at = F.regexp_instr(aligned, F.lit(pattern))
-    length = F.length(F.regexp_substr(aligned, F.lit(pattern)))
+    # One projection, so that sorting and limiting stay a single top-k step.
+    length = F.length(F.regexp_extract(aligned, pattern, 0))
     # A term that only matches inside a decomposed letter has no aligned place.
-    at, length = F.when(at > 0, at).otherwise(1), F.coalesce(length, F.lit(0))
+    at = F.when(at > 0, at).otherwise(1)
     begin = F.greatest(at - p.SNIPPET_BEFORE, F.lit(1))
     return F.concat(
         F.when(begin > 1, F.lit("…")).otherwise(""),
