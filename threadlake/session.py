@@ -17,8 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Message copies are merged in hash maps of this many keys before sorting takes over.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
-    # A binary file is one row, so keep Arrow batches of them small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # A file is one row, so Arrow batches are bounded by their bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
@@ -40,14 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may run without the setting; it then gets a temporary
     folder of its own, because driver and executors are the same machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def run_folder(spark: SparkSession) -> str:
