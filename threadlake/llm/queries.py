@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import digest_index, packing, simhash, topk_search
+from threadlake.llm import digest_index, packing, quality, simhash, topk_search
 from threadlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op3_nra_topk": _over("embeddings", topk_search.top_k_query),
     "op5_packing": _over("documents", packing.packing_query),
     "op6_digest_index": _over("documents", digest_index.exact_dedup_query),
+    "op8_rule_ensemble": quality.quality_query,
     "op9_simhash": _over("documents", simhash.near_dedup_query),
 }
 
