@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import digest_index, packing, quality, simhash, topk_search
+from threadlake.llm import digest_index, html_text, packing, quality, simhash, topk_search
 from threadlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op6_digest_index": _over("documents", digest_index.exact_dedup_query),
     "op8_rule_ensemble": quality.quality_query,
     "op9_simhash": _over("documents", simhash.near_dedup_query),
+    "op10_html_crf": _over("pages", html_text.html_query),
 }
 
 ORACLES: dict[str, str] = {
