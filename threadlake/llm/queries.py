@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import digest_index, html_text, packing, quality, simhash, topk_search
+from threadlake.llm import digest_index, html_text, packing, quality, simhash, token_counts, topk_search
 from threadlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, make: Callable[[SparkSession, DataFrame], DataFrame]) -> Qu
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_fst": _over("documents", token_counts.token_count_query),
     "op3_nra_topk": _over("embeddings", topk_search.top_k_query),
     "op5_packing": _over("documents", packing.packing_query),
     "op6_digest_index": _over("documents", digest_index.exact_dedup_query),
