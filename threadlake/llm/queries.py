@@ -13,6 +13,7 @@ from threadlake.llm import (
     packing,
     preference,
     quality,
+    segmentation,
     simhash,
     token_counts,
     topk_search,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_fst": _over("documents", token_counts.token_count_query),
     "op2_preference": preference.preference_query,
     "op3_nra_topk": _over("embeddings", topk_search.top_k_query),
+    "op4_nbest_pieces": _over("documents", segmentation.segmentation_query),
     "op5_packing": _over("documents", packing.packing_query),
     "op6_digest_index": _over("documents", digest_index.exact_dedup_query),
     "op7_licence_dice": _over("documents", licence_scan.licence_query),
