@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlake.llm.piece_lattice import piece_lattice
 
@@ -58,7 +59,7 @@ def segmentations(
 
 def decoded(segments: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """Add ``text``, the decoded ``ids``; null ids give a null text."""
-    schema = segments.schema.add("text", "string")
+    schema = T.StructType([*segments.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = piece_lattice(model)
