@@ -48,18 +48,29 @@ class DigestIndex:
     def add(self, groups: DataFrame) -> DataFrame:
         """Append those of ``groups(digest, keep_id, group_size)`` that are new.
 
-        ``groups`` has one row per digest.  Returns the appended rows, written
-        once, so they can be read again after the index has grown.
+        ``groups`` has one row per digest.  Returns a row for each: the new ones as
+        they are, the others as the index has them, told apart by ``new``.  They
+        are written once, so they can be read after the index has grown.  Both
+        joins sort-merge with the index where it lies; only ``groups`` moves.
         """
-        known = self.rows().select("digest").hint("merge")
-        new = materialize(groups.join(known, "digest", "left_anti"), "new-digests")
+        known = self.rows().hint("merge")
+        fresh = groups.join(known.select("digest"), "digest", "left_anti")
+        held = known.join(groups.select("digest"), "digest", "left_semi")
+        columns = ["digest", "keep_id", "group_size"]
+        decided = materialize(
+            fresh.select(*columns, F.lit(True).alias("new")).unionByName(
+                held.select(*columns, F.lit(False).alias("new"))
+            ),
+            "decided-digests",
+        )
         (
-            new.select("digest", "keep_id", "group_size")
+            decided.filter("new")
+            .select(*columns)
             .repartition(self.buckets, "digest")
             .sortWithinPartitions("digest")
             .write.insertInto(self.table)
         )
-        return new
+        return decided
 
 
 def dedup(
@@ -85,15 +96,13 @@ def dedup(
     groups = marks.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    new = index.add(groups).select("digest", F.lit(True).alias("new"))
-    # Read without the bucketing: a bucketed side could not be split for a hot digest.
-    listed = docs.sparkSession.read.schema(index.rows().schema).parquet(index.path)
-    decided = listed.join(new, "digest", "left")
+    decided = index.add(groups)
+    # Two plain shuffles, so that Spark can split the partition of a hot digest.
     return marks.join(decided, "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("new").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "digest",
     )
 
