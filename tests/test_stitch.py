@@ -150,3 +150,36 @@ def test_close_titles_match_the_ratio(spark):
     assert got == {
         (a, b) for a in names for b in names if difflib.SequenceMatcher(None, a, b).ratio() > 0.92
     }
+
+
+def test_similar_titles_against_all_pairs(spark):
+    rng = random.Random(9)
+    titles = {"a", "ab", "weekend planning group 1"}
+    for _ in range(25):
+        base = "".join(rng.choices("abcdefgh ", k=rng.choice((8, 14, 26, 40))))
+        titles.add(base)
+        for _ in range(4):
+            text = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randint(0, 1)] = rng.choice(("", "z", "yx"))
+            titles.add("".join(text))
+    frame = spark.createDataFrame([(t,) for t in titles if t], "norm_title string")
+    got = {(r.title_a, r.title_b) for r in stitch.similar_titles(frame).collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    want = {(a, b) for a in titles for b in titles if a and b and a != b and ratio(a, b) > 0.92}
+    assert got == want and want
+
+
+def test_a_notice_of_all_makes_no_pairs(spark):
+    """Exports of other people and titles that share one message are never put together."""
+    rows = []
+    for unit in range(60):
+        rows.append(row(unit, 0, (10, 8, 0), None, "a notice for everyone"))
+        rows.append(row(unit, 1, (10, 9, 0), f"P{unit}", f"text {unit}"))
+    titles = [f"{unit:03d}" * 4 for unit in range(60)]
+    profiles = stitch.unit_profiles(units_table(spark, titles), raw(spark, rows))
+    holders = stitch._rarest_first(stitch.message_keys(raw(spark, rows)))
+    lines = stitch._alike(holders, profiles.select("unit_idx", "people_key", "norm_title"))
+    assert holders.count() == 60 and lines.agg({"pos": "max"}).first()[0] == 0
+    assert len(set(grouped(spark, titles, rows).values())) == 60

@@ -8,10 +8,15 @@ messages themselves, never by comparing all exports:
 * a pair must share a message that is among the rarer ones of its smaller
   export (if 15 % of a set is shared, a common element cannot be missing from the
   85 % rarest ones), so very common messages propose no pairs for larger exports;
-* inside the exports that share a message, neighbours are tried first, then
-  doubling distances, and a message drops out as soon as all its exports are
-  one chat.  Copies and overlapping re-exports therefore join after a round of
-  linear size, and no pair that could matter is left untried.
+* the exports that share a message are put in lines of equal people and of equal
+  titles, and only those in one line are tried: neighbours first, then doubling
+  distances, and a line drops out as soon as all its exports are one chat.  Copies and
+  overlapping re-exports therefore join after a round of linear size;
+* titles that are nearly the same are found once, among the distinct titles, and
+  only exports with such titles are then tried for common messages.
+
+A message that many exports of other people and titles hold, such as a service
+notice, brings no pair about.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from threadlake.functions import text as X
 from threadlake.functions.fuzzy import similarity
 from threadlake.operators.components import star_components
 from threadlake.operators.dedup import with_keys
-from threadlake.operators.ranking import bucketed_index, dense_index, global_index
+from threadlake.operators.ranking import bucketed_index, dense_index
 from threadlake.session import materialize
 
 
@@ -145,17 +150,69 @@ def close_titles(pairs: DataFrame, left: str = "title_a", right: str = "title_b"
     )
 
 
-def _rarest_first(keys: DataFrame, profiles: DataFrame) -> DataFrame:
+def similar_titles(titles: DataFrame) -> DataFrame:
+    """Ordered pairs ``title_a, title_b`` of different titles that are nearly the same.
+
+    ``titles`` has a column ``norm_title``.  A ratio above r leaves fewer than
+    2 (1 - r) / r of the characters of ``title_a`` as differences, counted in both titles.
+    Cut into as many pieces, one piece of ``title_a`` is whole in ``title_b``, shifted by
+    less than their number.  So titles meet by length, piece and place, and only
+    those that meet are compared.
+    """
+    r = p.CLOSE_TITLE_RATIO
+    known = titles.select("norm_title").distinct().filter(F.length("norm_title") > 0)
+    n = F.length("norm_title")
+
+    def pieces(length: Column) -> Column:
+        return F.greatest(F.ceil(length * (2 * (1 - r) / r) - 1e-9), F.lit(1)).cast("int")
+
+    def begin(nth: Column, length: Column) -> Column:
+        return F.floor(nth * length / pieces(length)).cast("int")
+
+    numbers = lambda low, high: F.explode(F.sequence(low, high))
+    whole = (
+        known.select(F.col("norm_title").alias("title_a"), n.alias("length"))
+        .select("*", numbers(F.lit(0), pieces(F.col("length")) - 1).alias("nth"))
+        .select("title_a", "length", "nth", *_piece_bounds(begin))
+        .select("title_a", "length", "nth", F.substring("title_a", F.col("at") + 1, F.col("size")).alias("piece"))
+    )
+    shortest = F.ceil(F.col("own") * (r / (2 - r)) - 1e-9).cast("int")
+    longest = F.floor(F.col("own") * ((2 - r) / r) + 1e-9).cast("int")
+    seen = (
+        known.select(F.col("norm_title").alias("title_b"), n.alias("own"))
+        .select("*", numbers(F.greatest(shortest, F.lit(1)), longest).alias("length"))
+        .select("*", numbers(F.lit(0), pieces(F.col("length")) - 1).alias("nth"))
+        .select("title_b", "own", "length", "nth", *_piece_bounds(begin))
+    )
+    low = F.greatest(F.col("at") - pieces(F.col("length")), F.lit(0))
+    high = F.least(F.col("at") + pieces(F.col("length")), F.col("own") - F.col("size"))
+    seen = (
+        seen.filter(low <= high)
+        .select("*", numbers(low, high).alias("place"))
+        .select(
+            "title_b", "length", "nth", F.substring("title_b", F.col("place") + 1, F.col("size")).alias("piece")
+        )
+        .distinct()
+    )
+    met = (
+        whole.join(seen, ["length", "nth", "piece"])
+        .filter("title_a <> title_b")
+        .select("title_a", "title_b")
+        .distinct()
+    )
+    return close_titles(met).drop("ratio")
+
+
+def _piece_bounds(begin) -> tuple[Column, Column]:
+    nth, length = F.col("nth"), F.col("length")
+    return begin(nth, length).alias("at"), (begin(nth + 1, length) - begin(nth, length)).alias("size")
+
+
+def _rarest_first(keys: DataFrame) -> DataFrame:
     """Keys held by several exports, each flagged if it may propose its export.
 
-    Adds the number of keys of the export and a dense position of the export
-    among the holders of the key, with equal people and titles side by side.
+    Adds the number of keys of the export.
     """
-    ranked = global_index(
-        profiles.select("unit_idx", "people_key", "norm_title"),
-        ["people_key", "norm_title", "unit_idx"],
-        "urank",
-    ).select("unit_idx", "urank")
     holders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
     sizes = keys.groupBy("unit_idx").agg(F.count(F.lit(1)).alias("size"))
     held = keys.join(holders.filter("holders > 1"), "key")
@@ -175,34 +232,45 @@ def _rarest_first(keys: DataFrame, profiles: DataFrame) -> DataFrame:
     needed = F.ceil(F.col("size") * p.OVERLAP_THRESHOLD - 1e-9)
     rank_of_all = F.col("size") - F.col("n_common") + F.col("rarity")
     proposing = rank_of_all <= F.col("size") - F.greatest(needed, F.lit(1)) + 1
-    flagged = common.join(ranked, "unit_idx").select(
-        "key", "unit_idx", "size", "urank", proposing.alias("proposes")
+    return materialize(
+        common.select("key", "unit_idx", "size", proposing.alias("proposes")), "holders"
+    )
+
+
+def _alike(holders: DataFrame, facts: DataFrame) -> DataFrame:
+    """Holders of a key with equal people, and those with equal titles, in a line each.
+
+    ``alike`` names the people or the title, ``pos`` is the place in the line.
+    Exports that have neither in common are never in one line, so a message that very
+    many unrelated exports hold brings none of them together.
+    """
+    marks = F.array_compact(
+        F.array(
+            F.when(F.col("people_key").isNotNull(), F.concat(F.lit("people "), "people_key")),
+            F.when(F.col("norm_title") != "", F.concat(F.lit("title "), "norm_title")),
+        )
+    )
+    lines = holders.join(facts, "unit_idx").select(
+        "key", "unit_idx", "size", "proposes", F.explode(marks).alias("alike")
     )
-    return materialize(dense_index(flagged, ["key"], "urank", "pos"), "holders")
+    return materialize(dense_index(lines, ["key", "alike"], "unit_idx", "pos"), "alike")
 
 
-def _proposals(holders: DataFrame, low: int, high: int) -> DataFrame:
-    """Distinct pairs at distances ``low..high-1`` among the holders of a key."""
-    right = holders.select(
-        "key",
-        F.col("pos").alias("at"),
+def _pair_columns(right: DataFrame) -> DataFrame:
+    return right.select(
+        *[F.col(c) for c in right.columns if c not in ("unit_idx", "size", "proposes", "root", "pos")],
         F.col("unit_idx").alias("v"),
         F.col("size").alias("size_v"),
         F.col("proposes").alias("proposes_v"),
         F.col("root").alias("root_v"),
-        F.col("people_key").alias("people_v"),
-        F.col("norm_title").alias("title_v"),
     )
-    steps = F.explode(F.sequence(F.col("pos") + low, F.least(F.col("pos") + high, "n") - 1))
-    left = holders.filter(F.col("pos") + low < F.col("n")).select("*", steps.alias("at"))
+
+
+def _proposed(pairs: DataFrame, same_people: Column) -> DataFrame:
+    """Distinct pairs of open exports that the rarer keys of the smaller one propose."""
     smaller_proposes = F.when(
         F.struct("size", "unit_idx") < F.struct("size_v", "v"), F.col("proposes")
     ).otherwise(F.col("proposes_v"))
-    same_people = F.coalesce(F.col("people_key") == F.col("people_v"), F.lit(False))
-    lengths = F.length("norm_title"), F.length("title_v")
-    titles_can_match = (F.least(*lengths) > 0) & (
-        F.least(*lengths) * 2 > F.lit(p.CLOSE_TITLE_RATIO) * (lengths[0] + lengths[1])
-    )
     first = F.col("unit_idx") < F.col("v")
 
     def ordered(x: str, y: str, low_name: str, high_name: str) -> list[Column]:
@@ -212,60 +280,89 @@ def _proposals(holders: DataFrame, low: int, high: int) -> DataFrame:
         ]
 
     return (
-        left.join(right, ["key", "at"])
-        .filter(F.col("root") != F.col("root_v"))
-        .filter(smaller_proposes & (same_people | titles_can_match))
+        pairs.filter(F.col("root") != F.col("root_v"))
+        .filter(smaller_proposes)
         .select(
             *ordered("unit_idx", "v", "a", "b"),
-            *ordered("norm_title", "title_v", "title_a", "title_b"),
             *ordered("root", "root_v", "root_a", "root_b"),
             F.least("size", "size_v").alias("smaller"),
             same_people.alias("same_people"),
         )
-        .distinct()
+        .groupBy("a", "b", "root_a", "root_b", "smaller")
+        .agg(F.max("same_people").alias("same_people"))
+    )
+
+
+def _in_line(current: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs at distances ``low..high-1`` in the lines of ``_alike``; ``n`` is a line's length."""
+    right = _pair_columns(current.withColumn("at", F.col("pos")).drop("n"))
+    steps = F.explode(F.sequence(F.col("pos") + low, F.least(F.col("pos") + high, "n") - 1))
+    left = current.filter(F.col("pos") + low < F.col("n")).select("*", steps.alias("at"))
+    return _proposed(
+        left.join(right, ["key", "alike", "at"]), F.col("alike").startswith("people ")
+    )
+
+
+def _enough_in_common(found: DataFrame, known: DataFrame) -> DataFrame:
+    return materialize(
+        found.join(shared_keys(found, known), ["a", "b"])
+        .filter(overlap_ratio(F.col("shared"), F.col("smaller")) >= p.OVERLAP_THRESHOLD)
+        .select("a", "b", "root_a", "root_b", "same_people"),
+        "overlap-edges",
+    )
+
+
+def _joined_roots(roots: DataFrame, new: DataFrame) -> DataFrame:
+    moved = star_components(new, "root_a", "root_b")
+    return materialize(
+        roots.join(moved.toDF("root", "to"), "root", "left").select(
+            "unit_idx", F.coalesce("to", "root").alias("root")
+        ),
+        "roots",
     )
 
 
 def _overlap_edges(keys: DataFrame, profiles: DataFrame, roots: DataFrame) -> tuple:
     """Edges by common messages; returns the final roots and the edge tables."""
-    holders = _rarest_first(keys, profiles)
+    holders = _rarest_first(keys)
     known = holders.select("unit_idx", "key")
     facts = profiles.select("unit_idx", "people_key", "norm_title")
+    lines = _alike(holders, facts)
     edges, low = [], 1
     while True:
-        current = holders.join(roots, "unit_idx")
-        open_keys = (
-            current.groupBy("key")
+        current = lines.join(roots, "unit_idx")
+        open_lines = (
+            current.groupBy("key", "alike")
             .agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("pos").alias("n"))
             .filter((F.col("r1") != F.col("r2")) & (F.col("n") >= low))
-            .select("key", (F.col("n") + 1).alias("n"))
+            .select("key", "alike", (F.col("n") + 1).alias("n"))
         )
-        open_keys = materialize(open_keys, "open-keys")
-        if open_keys.isEmpty():
-            return roots, edges
+        open_lines = materialize(open_lines, "open-lines")
+        if open_lines.isEmpty():
+            break
         found = materialize(
-            _proposals(current.join(open_keys, "key").join(facts, "unit_idx"), low, low * 2),
-            "proposals",
+            _in_line(current.join(open_lines, ["key", "alike"]), low, low * 2), "proposals"
         )
-        titled = close_titles(found.filter(~F.col("same_people"))).drop("ratio")
-        likely = found.filter("same_people").unionByName(titled)
-        new = (
-            likely.join(shared_keys(likely, known), ["a", "b"])
-            .filter(overlap_ratio(F.col("shared"), F.col("smaller")) >= p.OVERLAP_THRESHOLD)
-            .select("a", "b", "root_a", "root_b", "same_people")
-        )
-        new = materialize(new, "overlap-edges")
+        new = _enough_in_common(found, known)
         if not new.isEmpty():
             edges.append(new)
-            moved = star_components(new, "root_a", "root_b")
-            roots = materialize(
-                roots.join(moved.toDF("root", "to"), "root", "left").select(
-                    "unit_idx", F.coalesce("to", "root").alias("root")
-                ),
-                "roots",
-            )
+            roots = _joined_roots(roots, new)
         low *= 2
 
+    # What is left are different titles that are nearly the same.
+    near = materialize(similar_titles(profiles), "similar-titles")
+    if not near.isEmpty():
+        titled = holders.join(roots, "unit_idx").join(facts.select("unit_idx", "norm_title"), "unit_idx")
+        right = _pair_columns(titled).withColumnRenamed("norm_title", "title_b")
+        left = titled.withColumnRenamed("norm_title", "title_a").join(near, "title_a")
+        # The earlier export is on the left, as the ratio has it.
+        pairs = left.join(right, ["key", "title_b"]).filter(F.col("unit_idx") < F.col("v"))
+        new = _enough_in_common(materialize(_proposed(pairs, F.lit(False)), "proposals"), known)
+        if not new.isEmpty():
+            edges.append(new)
+            roots = _joined_roots(roots, new)
+    return roots, edges
+
 
 def stitch(units: DataFrame, raw: DataFrame, mode: str = "full") -> Stitched:
     """Group exports into chats.
