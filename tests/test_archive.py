@@ -104,13 +104,13 @@ def test_search(made):
     _, _, messages, chats, _ = made
 
     def hits(q, **more):
-        return [(r.title, r.msg_idx, r.snippet) for r in V.search(messages, chats, q, **more).collect()]
+        return sorted((r.title, r.msg_idx, r.snippet) for r in V.search(messages, chats, q, **more).collect())
 
     assert hits("ÉTE") == [("Eva", 0, "«Été» à Évora")]
     assert hits("img") == [("Ana", 2, "«IMG» 1.jpg"), ("Eva, Gil, Hal +1", 0, "«IMG»-1.jpg")]
     assert hits("o", limit=9) == [] and hits("ello", which="group") == []
     assert len(hits("mg", limit=1)) == 1
-    plan = V.search(messages, chats, "hello")._jdf.queryExecution().executedPlan().toString()
+    plan = V.search(messages, chats, "hello", limit=5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
 
 
@@ -120,6 +120,8 @@ def test_snippet_keeps_its_place_behind_accents(spark):
     got = frame.select(V.snippet(F.col("t"), "needle")).first()[0]
     at = text.index("needle")
     assert got == "…" + text[at - 34:at] + "«needle»" + text[at + 6:at + 96]
+    dotted = spark.createDataFrame([("\u0130\u0130\u0130\u0130 hello needle end",)], "t string")
+    assert dotted.select(V.snippet(F.col("t"), "needle")).first()[0] == "\u0130\u0130\u0130\u0130 hello «needle» end"
 
 
 def test_previews(made):
@@ -150,7 +152,7 @@ def test_statistics(made):
 
 def test_media_views(made):
     _, _, messages, chats, _ = made
-    assert [(r.chat_id, r.filename) for r in V.latest_media(messages, chats).collect()] == [(2, "IMG-1.jpg"), (0, "IMG 1.jpg")]
+    assert [(r.chat_id, r.filename) for r in V.latest_media(messages, chats, 10).collect()] == [(2, "IMG-1.jpg"), (0, "IMG 1.jpg")]
     ordinals = {(r.chat_id, r.msg_idx): (r.media_idx, r.viewable_idx) for r in V.media_ordinals(messages).collect()}
     assert ordinals == {(0, 2): (0, 0), (0, 3): (1, None), (2, 0): (0, 0), (2, 1): (1, None), (2, 2): (2, None)}
     assert V.latest_media_per_chat(messages, 1).count() == 2
@@ -160,13 +162,14 @@ def test_media_catalog_and_report(made, spark):
     _, _, messages, chats, _ = made
     catalog = media.media_catalog(messages, chats, max_inline_bytes=50)
     assert {(r.media_key, r.filename, r.n_messages, r.status) for r in catalog.collect()} == {
-        ("h1", "IMG 1.jpg", 2, "inlined"), ("h2", "big.mp4", 1, "skipped_large"),
+        ("h1", "IMG 1.jpg", 2, "inlined"), ("h2", "big.mp4", 1, "copied"),
     }
     report = media.media_report(messages, catalog)
     assert report.first().asDict() == {
-        "inlined": 1, "copied": 0, "skipped_large": 1, "missing": 2, "bytes_embedded": 12,
+        "inlined": 1, "copied": 1, "missing": 2, "bytes_embedded": 12,
     }
-    assert media.media_warnings(report).count() == 1
+    assert {r.status for r in media.media_catalog(messages, chats).collect()} == {"inlined"}
+    assert {(r.name, r.src) for r in catalog.filter("status = 'copied'").collect()} == {("big.mp4", "media/big.mp4")}
     contents = spark.createDataFrame([("/x/1.jpg", b"123456789" * 20)], "path string, content binary")
     filled = media.inline_sources(catalog, contents)
     uri = filled.filter("media_key = 'h1'").first().src
@@ -175,7 +178,7 @@ def test_media_catalog_and_report(made, spark):
     assert by_key.attachment.src == "#h1"
     linked = media.link_sources(messages, filled, embed=True)
     got = {(r.chat_id, r.msg_idx): (r.attachment.src[:4], r.attachment.kind) for r in linked.filter("attachment is not null").collect()}
-    assert got == {(0, 2): ("data", "image"), (0, 3): ("", "image"), (2, 0): ("data", "image"), (2, 1): ("", "video"), (2, 2): ("", "missing")}
+    assert got == {(0, 2): ("data", "image"), (0, 3): ("", "image"), (2, 0): ("data", "image"), (2, 1): ("medi", "video"), (2, 2): ("", "missing")}
     names = media.media_catalog(messages, chats, "external")
     assert {r.name for r in names.collect()} == {"IMG_1.jpg", "big.mp4"}
     assert {r.status for r in media.media_catalog(messages, chats, "none").collect()} == {"none"}
@@ -242,7 +245,7 @@ def test_documents(made):
 def test_tables_on_disk(made, spark, tmp_path):
     units, unit_chat, messages, chats, name = made
     empty = spark.createDataFrame([], "unit_idx bigint, code string, message string")
-    archive = Archive(units, unit_chat, messages, chats, C.participants(messages), media.media_catalog(messages), empty, name)
+    archive = Archive(units, unit_chat, messages, chats, C.participants(messages), media.media_catalog(messages), spark.createDataFrame([], "media_key string"), empty, name)
     T.write_archive(archive, str(tmp_path / "a"), buckets=4)
     back = T.read_table(spark, str(tmp_path / "a"), "messages")
     assert back.count() == messages.count()

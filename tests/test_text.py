@@ -76,11 +76,23 @@ def test_kind_codes_round_trip(spark):
     assert values(spark, X.kind_code, ["odd"]) == ["t"]
 
 
-def test_leading_hash_reads_the_first_bytes_only(spark):
-    big = bytes(p.HASHED_BYTES)
-    frame = spark.createDataFrame([(big,), (big + b"x",), (b"x",)], "c binary")
-    got = [r[0] for r in frame.select(X.leading_hash(F.col("c"))).collect()]
-    assert got[0] == got[1] != got[2] and len(got[0]) == 20
+def test_digest_reads_the_whole_file(spark):
+    big = bytes(1 << 20)
+    frame = spark.createDataFrame([(big,), (big + b"x",), (big + b"y",), (big,)], "c binary")
+    got = [r[0] for r in frame.select(X.content_digest(F.col("c"))).collect()]
+    assert got[0] == got[3] and len(set(got)) == 3 and len(got[0]) == 64
+
+
+def test_similarity_does_not_hang_on_the_length(spark):
+    """One changed character at each end, below and above the length at which a junk heuristic sets in."""
+    rows = [("a" + "xy" * n + "b", "c" + "xy" * n + "d") for n in (20, 120)] + [("abcd", "bcde"), ("abc", "xyz")]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] for r in frame.select(fuzzy.similarity("a", "b")).collect()]
+    assert [round(g, 9) for g in got] == [round(40 / 42, 9), round(240 / 242, 9), 0.75, 0.0]
+
+
+def test_dotted_capital_keeps_its_place(spark):
+    assert values(spark, fuzzy.align_fold, ["\u0130\u0130x"]) == ["iix"]
 
 
 def test_folding_forms_agree(spark):

@@ -26,7 +26,6 @@ from threadlake.functions import patterns as p
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _COMBINING = re.compile(p.COMBINING_MARKS)
-_LOWEST_RATIO = p.OWNER_NAME_RATIO
 
 
 def fold_text(text: str) -> str:
@@ -62,7 +61,8 @@ def folds_natively(needle: str) -> bool:
 def align_fold(text: Column) -> Column:
     """Lower case with accents removed, one character per original character."""
     source, target, _ = _fold_rules()
-    return F.translate(F.lower(text), source, target)
+    # Lower-casing would make two characters of the dotted capital I.
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), source, target)
 
 
 def fold_native(text: Column) -> Column:
@@ -83,17 +83,13 @@ def fold(text: Column, needle: str) -> Column:
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, with ``right`` as the indexed side.
 
-    The two cheap upper bounds are tried first; a pair below the lowest ratio
-    that any caller accepts is reported as 0.
+    The value is the same for every caller and every length of the texts.
     """
-    matcher, indexed, ratios = difflib.SequenceMatcher(None), None, []
+    matcher, indexed, ratios = difflib.SequenceMatcher(None, autojunk=False), None, []
     for a, b in zip(left, right):
         if b != indexed:
             matcher.set_seq2(b)
             indexed = b
         matcher.set_seq1(a)
-        if min(matcher.real_quick_ratio(), matcher.quick_ratio()) < _LOWEST_RATIO:
-            ratios.append(0.0)
-        else:
-            ratios.append(matcher.ratio())
+        ratios.append(matcher.ratio())
     return pd.Series(ratios, dtype="float64")

@@ -198,20 +198,14 @@ UNSAFE_NAME = r"[^A-Za-z0-9._-]+"
 
 # --- limits and thresholds --------------------------------------------------------------
 
-HASHED_BYTES = 1 << 20
 OVERLAP_THRESHOLD = 0.15
 CLOSE_TITLE_RATIO = 0.92
 OWNER_NAME_RATIO = 0.75
-MAX_INLINE_BYTES = 16 * 1024 * 1024
-SEARCH_LIMIT = 400
 SNIPPET_BEFORE = 34
 SNIPPET_AFTER = 90
 PREVIEW_LENGTH = 120
 PAGE_SIZE = 250
 RUN_GAP_SECONDS = 900
-BUSIEST_LIMIT = 10
-ARCHIVE_MEDIA_LIMIT = 300
-CHAT_MEDIA_LIMIT = 30
 HEADER_NAMES = 6
 JUMBO_UNITS = 24
 

@@ -71,9 +71,9 @@ def attachment_identity(filename: Column, content_hash: Column) -> Column:
     return F.coalesce(F.nullif(content_hash, F.lit("")), media_identity(filename))
 
 
-def leading_hash(content: Column) -> Column:
-    """Hash of the first bytes of a file, enough to recognise a re-exported copy."""
-    return F.substring(F.sha1(F.substring(content, 1, p.HASHED_BYTES)), 1, 20)
+def content_digest(content: Column) -> Column:
+    """Digest of a whole file: equal only for equal bytes."""
+    return F.sha2(content, 256)
 
 
 def epoch_seconds(ts: Column) -> Column:

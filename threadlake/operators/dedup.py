@@ -113,10 +113,15 @@ def order_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def merge_messages(raw: DataFrame, unit_chat: DataFrame) -> DataFrame:
-    """All of the above: export messages in, one ordered message table out."""
+def merge_messages(raw: DataFrame, unit_chat: DataFrame, ranked: bool = True) -> DataFrame:
+    """All of the above: export messages in, one ordered message table out.
+
+    Without ``ranked`` the messages have no ``msg_idx`` and nothing is written on the
+    way, so that aggregates over them read only the columns they use.
+    """
     collapsed = collapse_copies(with_keys(assign_chats(raw, unit_chat)))
-    return order_messages(pair_placeholders(collapsed))
+    paired = pair_placeholders(collapsed)
+    return order_messages(paired) if ranked else paired
 
 
 def merge_stats(messages: DataFrame) -> DataFrame:

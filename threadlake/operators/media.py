@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import patterns as p
@@ -20,35 +20,39 @@ def resolve_attachments(raw: DataFrame, units: DataFrame, files: DataFrame) -> D
     """
     roots = units.select("unit_idx", "archive", "media_root")
     att = F.col("attachment")
-    named = raw.filter(
-        att.isNotNull() & ~att["omitted"] & (F.coalesce(att["filename"], F.lit("")) != "")
+    has_name = F.coalesce(
+        att.isNotNull() & ~att["omitted"] & (F.coalesce(att["filename"], F.lit("")) != ""), F.lit(False)
+    )
+    placed = files.select(
+        F.struct("archive", "media_root", "folded_name").alias("_place"),
+        F.struct(
+            F.concat_ws("!/", F.nullif("archive", F.lit("")), F.col("path")).alias("path"), "size", "content_hash"
+        ).alias("_file"),
     )
     found = (
-        named.select(
-            "unit_idx",
-            "msg_no",
-            X.casefold(X.base_name(F.col("attachment.filename"))).alias("folded_name"),
-        )
-        .join(roots, "unit_idx")
-        .join(files.withColumnRenamed("size", "file_size"), ["archive", "media_root", "folded_name"])
-        .select(
-            "unit_idx",
-            "msg_no",
-            F.concat_ws("!/", F.nullif("archive", F.lit("")), F.col("path")).alias("file_path"),
-            "file_size",
-            F.col("content_hash").alias("file_hash"),
+        raw.filter(has_name)
+        .join(roots.select("unit_idx", F.col("archive").alias("_archive"), F.col("media_root").alias("_root")), "unit_idx", "left")
+        .withColumn(
+            "_place",
+            F.struct(
+                F.col("_archive").alias("archive"),
+                F.col("_root").alias("media_root"),
+                X.casefold(X.base_name(att["filename"])).alias("folded_name"),
+            ),
         )
+        .join(placed, "_place", "left")
     )
     filled = F.when(
-        F.col("file_path").isNotNull(),
-        att.withField("path", F.col("file_path"))
-        .withField("size", F.col("file_size"))
-        .withField("content_hash", F.col("file_hash")),
+        F.col("_file").isNotNull(),
+        att.withField("path", F.col("_file.path"))
+        .withField("size", F.col("_file.size"))
+        .withField("content_hash", F.col("_file.content_hash")),
     ).otherwise(att)
+    # Messages without a file stay where they are; only the named ones meet the files.
     return (
-        raw.join(found, ["unit_idx", "msg_no"], "left")
-        .withColumn("attachment", filled)
+        found.withColumn("attachment", filled)
         .select(*raw.columns)
+        .unionByName(raw.filter(~has_name))
     )
 
 
@@ -98,13 +102,14 @@ def media_catalog(
     messages: DataFrame,
     chats: DataFrame | None = None,
     mode: str = "inline",
-    max_inline_bytes: int = p.MAX_INLINE_BYTES,
+    max_inline_bytes: int | None = None,
     folder: str = "media",
 ) -> DataFrame:
     """One row per unique file that messages point at, named by its first message.
 
-    ``status`` is what happens to the file: ``inlined``, ``copied``,
-    ``skipped_large`` or ``none``.
+    ``status`` is what happens to the file: ``inlined``, ``copied`` or ``none``.  No file
+    is left out: beyond ``max_inline_bytes``, where that is given, a file is
+    copied under a name of its own instead of being inlined.
     """
     if mode not in MODES:
         raise ValueError(f"unknown media mode: {mode}")
@@ -131,26 +136,40 @@ def media_catalog(
             "n_messages",
         )
     )
-    if mode == "external":
-        catalog = _safe_names(catalog)
-        return catalog.select(
-            *[c for c in catalog.columns if c not in ("chat_rank", "msg_idx", "media_no")],
-            F.lit("copied").alias("status"),
-            F.concat(F.lit(f"{folder}/"), "name").alias("src"),
-        )
-    if mode == "none":
-        status = F.lit("none")
+    copied = F.lit(mode == "external")
+    if mode == "inline" and max_inline_bytes is not None:
+        copied = F.col("size") > max_inline_bytes
+    if mode == "external" or max_inline_bytes is not None:
+        # Names are unique among all files, so they do not hang on the limit.
+        catalog = _safe_names(catalog).drop("media_no")
     else:
-        status = F.when(F.col("size") > max_inline_bytes, F.lit("skipped_large")).otherwise("inlined")
-    return catalog.drop("chat_rank", "msg_idx").select(
-        "*", F.col("filename").alias("name"), status.alias("status"), F.lit("").alias("src")
+        catalog = catalog.withColumn("name", F.col("filename"))
+    status = F.when(copied, F.lit("copied")).otherwise("inlined")
+    return catalog.select(
+        *[c for c in catalog.columns if c not in ("chat_rank", "msg_idx", "name")],
+        F.when(copied, F.col("name")).otherwise(F.col("filename")).alias("name"),
+        (F.lit("none") if mode == "none" else status).alias("status"),
+        F.when(copied, F.concat(F.lit(f"{folder}/"), "name")).otherwise("").alias("src"),
+    )
+
+
+def media_content(catalog: DataFrame, contents: DataFrame) -> DataFrame:
+    """``media_key, name, size, content``: the bytes of every file, each once.
+
+    ``contents`` is ``path, content``; a file in use at several paths is read at the
+    catalogue's.  Without media (mode ``none``) there is nothing to keep.
+    """
+    wanted = catalog.filter(F.col("status") != "none").select("media_key", "name", "size", "path")
+    return wanted.join(contents.select("path", "content"), "path").select(
+        "media_key", "name", "size", "content"
     )
 
 
 def inline_sources(catalog: DataFrame, contents: DataFrame) -> DataFrame:
     """Add the data URI of every inlined file; ``contents``: ``path, content``."""
     wanted = catalog.filter(F.col("status") == "inlined").select("media_key", "path", "mime")
-    body = F.regexp_replace(F.base64("content"), r"\s", "")
+    # Line breaks, where a setting makes base64 write them, are no part of a link.
+    body = F.translate(F.base64("content"), "\r\n", "")
     uris = wanted.join(contents.select("path", "content"), "path").select(
         "media_key", F.concat(F.lit("data:"), "mime", F.lit(";base64,"), body).alias("_uri")
     )
@@ -169,29 +188,23 @@ def link_sources(messages: DataFrame, catalog: DataFrame, embed: bool = False) -
     """
     att = F.col("attachment")
     key = F.coalesce(F.nullif(att["content_hash"], F.lit("")), att["path"])
-    linkable = att.isNotNull() & ~att["omitted"] & att["path"].isNotNull()
-    # Messages without a file get keys of their own that match nothing; nulls
-    # would all meet in one task.
-    spread = F.concat(F.lit("\0"), F.pmod(F.hash("chat_id", "msg_idx"), F.lit(1 << 16)).cast("string"))
-    keyed = messages.withColumn("_key", F.when(linkable, key).otherwise(spread))
+    linkable = F.coalesce(att.isNotNull() & ~att["omitted"] & att["path"].isNotNull(), F.lit(False))
     link = F.col("src")
     if not embed:
         inlined = F.col("status") == "inlined"
         link = F.when(inlined, F.concat(F.lit("#"), "media_key")).otherwise(link)
     links = catalog.select(F.col("media_key").alias("_key"), link.alias("_src"))
     unusable = att["omitted"] | (F.coalesce(att["filename"], F.lit("")) == "")
-    return (
-        keyed.join(links, "_key", "left")
-        .withColumn(
-            "attachment",
-            F.when(
-                att.isNotNull(),
-                att.withField("src", F.coalesce("_src", F.lit(""))).withField(
-                    "kind", F.when(unusable, F.lit("missing")).otherwise(att["kind"])
-                ),
-            ),
-        )
-        .select(*messages.columns)
+
+    def linked(rows: DataFrame, src: Column) -> DataFrame:
+        kind = F.when(unusable, F.lit("missing")).otherwise(att["kind"])
+        filled = F.when(att.isNotNull(), att.withField("src", src).withField("kind", kind))
+        return rows.withColumn("attachment", filled).select(*messages.columns)
+
+    # Messages without a file stay where they are; only the others meet the catalogue.
+    found = messages.filter(linkable).withColumn("_key", key).join(links, "_key", "left")
+    return linked(found, F.coalesce("_src", F.lit(""))).unionByName(
+        linked(messages.filter(~linkable), F.lit(""))
     )
 
 
@@ -200,9 +213,6 @@ def media_report(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     files = catalog.agg(
         F.count_if(F.col("status") == "inlined").alias("inlined"),
         F.count_if(F.col("status") == "copied").alias("copied"),
-        F.coalesce(F.sum(F.when(F.col("status") == "skipped_large", F.col("n_messages"))), F.lit(0))
-        .cast("bigint")
-        .alias("skipped_large"),
         F.coalesce(
             F.sum(F.when(F.col("status") == "inlined", F.floor(F.col("size") * 4 / 3))), F.lit(0)
         )
@@ -215,19 +225,5 @@ def media_report(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     # Two one-row aggregates side by side.
     return files.join(missing, "_one").select(
-        "inlined", "copied", "skipped_large", "missing", "bytes_embedded"
-    )
-
-
-def media_warnings(report: DataFrame) -> DataFrame:
-    return report.filter("skipped_large > 0").select(
-        F.lit(None).cast("bigint").alias("unit_idx"),
-        F.lit("skipped_large").alias("code"),
-        F.concat(
-            F.col("skipped_large").cast("string"),
-            F.lit(
-                " file(s) exceeded --max-inline-mb and were left out; "
-                "use --media external to keep them"
-            ),
-        ).alias("message"),
+        "inlined", "copied", "missing", "bytes_embedded"
     )

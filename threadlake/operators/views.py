@@ -110,9 +110,12 @@ def search(
     chats: DataFrame,
     query: str,
     which: str = "all",
-    limit: int = p.SEARCH_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """First hits in chat order then message order, without case and accents."""
+    """Hits without regard to case and accents; all of them unless a ``limit`` is given.
+
+    With a limit the first ones in chat order then message order.
+    """
     needle = fuzzy.fold_text(query).strip()
     hay = F.coalesce(F.nullif("text", F.lit("")), F.col("attachment.filename"), F.lit(""))
     scope = filter_chats(chats, messages, which).select("chat_id", "chat_rank", "title")
@@ -121,19 +124,17 @@ def search(
         hits = texts.filter(F.lit(False))
     else:
         hits = texts.filter(F.contains(fuzzy.fold(F.col("hay"), needle), F.lit(needle)))
-    return (
-        hits.join(scope, "chat_id")
-        .orderBy("chat_rank", "msg_idx")
-        .limit(limit)
-        .select(
-            "chat_rank",
-            "chat_id",
-            "title",
-            "msg_idx",
-            "ts",
-            "sender",
-            snippet(F.col("hay"), needle).alias("snippet"),
-        )
+    found = hits.join(scope, "chat_id")
+    if limit is not None:
+        found = found.orderBy("chat_rank", "msg_idx").limit(limit)
+    return found.select(
+        "chat_rank",
+        "chat_id",
+        "title",
+        "msg_idx",
+        "ts",
+        "sender",
+        snippet(F.col("hay"), needle).alias("snippet"),
     )
 
 
@@ -150,10 +151,11 @@ def snippet(text: Column, needle: str) -> Column:
     at = F.regexp_instr(aligned, F.lit(pattern))
     # One projection, so that sorting and limiting stay a single top-k step.
     length = F.length(F.regexp_extract(aligned, pattern, 0))
-    # A term that only matches inside a decomposed letter has no aligned place.
-    at = F.when(at > 0, at).otherwise(1)
+    # A term that only matches inside a decomposed letter has no aligned place; then
+    # the text's beginning stands without a mark.
+    plain = F.substring(text, 1, p.SNIPPET_BEFORE + p.SNIPPET_AFTER)
     begin = F.greatest(at - p.SNIPPET_BEFORE, F.lit(1))
-    return F.concat(
+    marked = F.concat(
         F.when(begin > 1, F.lit("…")).otherwise(""),
         F.substring(text, begin, at - begin),
         F.lit("«"),
@@ -161,6 +163,7 @@ def snippet(text: Column, needle: str) -> Column:
         F.lit("»"),
         F.substring(text, at + length, F.lit(p.SNIPPET_AFTER)),
     )
+    return F.when(at > 0, marked).otherwise(plain)
 
 
 # --- statistics ---------------------------------------------------------------------------
@@ -270,7 +273,7 @@ def archive_stats(messages: DataFrame, units: DataFrame, owner: str | None) -> D
     )
 
 
-def busiest_chats(chats: DataFrame, limit: int = p.BUSIEST_LIMIT) -> DataFrame:
+def busiest_chats(chats: DataFrame, limit: int) -> DataFrame:
     """The chats with most messages and their share of the archive."""
     total = chats.agg(F.sum("n_messages").alias("total"), F.lit(1).alias("_one"))
     top = chats.orderBy(F.desc("n_messages"), "chat_rank").limit(limit)
@@ -289,7 +292,7 @@ def busiest_chats(chats: DataFrame, limit: int = p.BUSIEST_LIMIT) -> DataFrame:
 # --- media ---------------------------------------------------------------------------------
 
 
-def latest_media(messages: DataFrame, chats: DataFrame, limit: int = p.ARCHIVE_MEDIA_LIMIT) -> DataFrame:
+def latest_media(messages: DataFrame, chats: DataFrame, limit: int) -> DataFrame:
     """Newest viewable media of the archive."""
     return (
         messages.filter(_viewable())
@@ -300,7 +303,7 @@ def latest_media(messages: DataFrame, chats: DataFrame, limit: int = p.ARCHIVE_M
     )
 
 
-def latest_media_per_chat(messages: DataFrame, limit: int = p.CHAT_MEDIA_LIMIT) -> DataFrame:
+def latest_media_per_chat(messages: DataFrame, limit: int) -> DataFrame:
     """Newest viewable media of every chat; only the top rows of a task are shuffled."""
     newest = Window.partitionBy("chat_id").orderBy(F.desc("msg_idx"))
     return (

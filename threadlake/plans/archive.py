@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions import patterns as p
 from threadlake.operators import chats as C
 from threadlake.operators import dedup, media, owner, stitch, transcripts
 from threadlake.session import materialize
@@ -25,6 +24,7 @@ class Archive:
     chats: DataFrame
     participants: DataFrame
     media_catalog: DataFrame
+    media_content: DataFrame
     warnings: DataFrame
     owner: str | None
 
@@ -34,8 +34,8 @@ class Archive:
     def media_report(self) -> DataFrame:
         return media.media_report(self.messages, self.media_catalog)
 
-    def documents(self, page_rows: int = K.PAGE_ROWS, embed: bool = True) -> DataFrame:
-        """JSON pages; ``embed`` puts the bytes of inlined files into the messages."""
+    def documents(self, page_rows: int = K.PAGE_ROWS, embed: bool = False) -> DataFrame:
+        """JSON pages; ``embed`` repeats the bytes of inlined files in every message."""
         messages = self.messages
         if embed:
             messages = media.link_sources(messages, self.media_catalog, embed=True)
@@ -75,7 +75,7 @@ def build_archive(
     owner_override: str | None = None,
     date_order: str = "auto",
     media_mode: str = "inline",
-    max_inline_bytes: int = p.MAX_INLINE_BYTES,
+    max_inline_bytes: int | None = None,
     media_folder: str = "media",
 ) -> Archive:
     """Read exports, merge them, resolve media and collect all warnings."""
@@ -97,8 +97,6 @@ def build_archive(
 
     counts = transcripts.line_counts(texts, date_order)
     notes = exports.warnings.unionByName(transcripts.parse_warnings(counts, units, date_order))
-    if media_mode == "inline":
-        notes = notes.unionByName(media.media_warnings(media.media_report(messages, catalog)))
     return Archive(
         units=units,
         unit_chat=unit_chat,
@@ -106,6 +104,7 @@ def build_archive(
         chats=chats,
         participants=C.participants(messages),
         media_catalog=catalog,
+        media_content=media.media_content(catalog, exports.contents),
         warnings=notes.select("unit_idx", "code", F.col("message")),
         owner=name,
     )

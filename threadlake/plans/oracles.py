@@ -198,14 +198,14 @@ file AS (
   SELECT label, unit_idx, msg_no, conv_id, filename,
          concat(label, '!/media/', filename) AS path,
          concat(conv_id, '-', msg_no) AS bytes,
-         substr(sha1(concat(conv_id, '-', msg_no)), 1, 20) AS content_hash
+         sha256(concat(conv_id, '-', msg_no)) AS content_hash
   FROM v WHERE filename IS NOT NULL
 )"""
 
 #: Merged messages with resolved files: the surviving copy has a file if any copy has one.
 RESOLVED_MERGED = MERGED.replace(
     "lower(regexp_replace(filename, '^[0-9]{6,10}-', ''))",
-    "substr(sha1(concat(conv_id, '-', msg_no)), 1, 20)",
+    "sha256(concat(conv_id, '-', msg_no))",
 )
 
 def _with(ctes: str, body: str, recursive: bool = False) -> str:
@@ -332,10 +332,10 @@ def oracle_sql() -> dict[str, str]:
             CHATS,
             f"""SELECT chat_id, CASE WHEN is_group
                  THEN concat(coalesce((SELECT string_agg(sender, ', ' ORDER BY rn) FROM other o
-                        WHERE o.conv_id = chat_id AND rn <= {p.HEADER_NAMES}), ''),
+                        WHERE o.conv_id = chat_id AND rn <= 6), ''),
                       CASE WHEN coalesce((SELECT max(rn) FROM other o WHERE o.conv_id = chat_id), 0)
-                           > {p.HEADER_NAMES} THEN concat(' +', (SELECT max(rn) FROM other o
-                             WHERE o.conv_id = chat_id) - {p.HEADER_NAMES}) ELSE '' END)
+                           > 6 THEN concat(' +', (SELECT max(rn) FROM other o
+                             WHERE o.conv_id = chat_id) - 6) ELSE '' END)
                  ELSE concat(strftime(start_ts, '%d/%m/%Y'), ' – ', strftime(end_ts, '%d/%m/%Y'),
                       '  ·  ', format('{{:,}}', n_messages), ' messages') END AS line
                FROM chat""".replace(
@@ -427,14 +427,14 @@ WITH c AS (
   FROM conversations GROUP BY conv_id
 )
 SELECT unit_idx, 'ignored_lines' AS code,
-  concat(label, ': ', loose, ' line(s) before the first timestamp were ignored') AS message
+  concat(label, ': ', loose, ' line(s) stand before any message and belong to none') AS message
 FROM c WHERE loose > 0
 UNION ALL
-SELECT unit_idx, 'no_messages', concat(label, ': no messages recognised — unsupported format?')
+SELECT unit_idx, 'no_messages', concat(label, ': found no line that begins with a date and time')
 FROM c WHERE kept = 0
 UNION ALL
-SELECT unit_idx, 'ambiguous_dates', concat(label, ': every date is ambiguous; assumed day/month order'
-  ' — pass --date-order mdy if that is wrong') FROM c WHERE style <> 1""",
+SELECT unit_idx, 'ambiguous_dates', concat(label, ': day and month cannot be told apart in any date; read as day first, '
+  'date_order=''mdy'' reads them the other way') FROM c WHERE style <> 1""",
         "clean_titles": """
 SELECT doc_id, CASE doc_id % 7
   WHEN 4 THEN concat(lang, ' ', doc_id) WHEN 5 THEN 'Unknown chat'
@@ -463,7 +463,8 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
             V,
             """SELECT concat('/exports/', label) AS archive,
                  row_number() OVER (PARTITION BY unit_idx ORDER BY msg_no) - 1 AS msg_no,
-                 ts, sender, kind, has_seconds FROM v""",
+                 ts, sender, kind, has_seconds,
+                 sha1(rtrim(text, concat(' ', chr(9), chr(10), chr(13)))) AS text_sha1 FROM v""",
         ),
         "media_resolve": _with(
             V + "," + RESOLVED,
@@ -477,7 +478,7 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                  'image' AS kind, CAST(max(length(bytes)) AS BIGINT) AS size, count(*) AS n_messages,
                  'inlined' AS status,
                  concat('data:image/jpeg;base64,', base64(encode(max(bytes)))) AS src
-               FROM (SELECT *, substr(sha1(b), 1, 20) AS media_key, b AS bytes FROM (
+               FROM (SELECT *, sha256(b) AS media_key, b AS bytes FROM (
                  SELECT *, concat(conv_id, '-', regexp_extract(filename, '-([0-9]+)[.]jpg$', 1)) AS b
                  FROM m WHERE filename IS NOT NULL)) GROUP BY media_key""",
         ),
@@ -487,15 +488,14 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                SELECT media_key, CASE WHEN rn = 1 THEN 'photo_1.jpg'
                         ELSE concat('photo_1_', rn, '.jpg') END AS name FROM (
                  SELECT media_key, row_number() OVER (ORDER BY c, i) AS rn FROM (
-                   SELECT substr(sha1(concat(conv_id, '-', regexp_extract(filename, '-([0-9]+)[.]jpg$', 1))), 1, 20)
+                   SELECT sha256(concat(conv_id, '-', regexp_extract(filename, '-([0-9]+)[.]jpg$', 1)))
                      AS media_key, min(conv_id) AS c, min(msg_idx) AS i
                    FROM m WHERE filename IS NOT NULL GROUP BY 1)))""",
         ),
         "media_report": _with(
             RESOLVED_MERGED,
             """SELECT count(*) FILTER (WHERE filename IS NOT NULL AND size <= 3) AS inlined,
-                 CAST(0 AS BIGINT) AS copied,
-                 count(*) FILTER (WHERE filename IS NOT NULL AND size > 3) AS skipped_large,
+                 count(*) FILTER (WHERE filename IS NOT NULL AND size > 3) AS copied,
                  count(*) FILTER (WHERE filename IS NULL) AS missing,
                  CAST(coalesce(sum(size * 4 // 3) FILTER (WHERE filename IS NOT NULL AND size <= 3), 0) AS BIGINT)
                    AS bytes_embedded
@@ -505,23 +505,22 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
         "search_messages": _with(
             CHATS,
             f"""SELECT chat_rank, chat_id, title, msg_idx, ts, sender,
-                 concat(CASE WHEN pos > {p.SNIPPET_BEFORE} + 1 THEN '…' ELSE '' END,
-                   substr(hay, greatest(pos - {p.SNIPPET_BEFORE}, 1), pos - greatest(pos - {p.SNIPPET_BEFORE}, 1)),
+                 concat(CASE WHEN pos > 34 + 1 THEN '…' ELSE '' END,
+                   substr(hay, greatest(pos - 34, 1), pos - greatest(pos - 34, 1)),
                    '«', substr(hay, pos, {len(SEARCH_TERM)}), '»',
-                   substr(hay, pos + {len(SEARCH_TERM)}, {p.SNIPPET_AFTER})) AS snippet
+                   substr(hay, pos + {len(SEARCH_TERM)}, 90)) AS snippet
                FROM (SELECT c.chat_rank, c.chat_id, c.title, x.*,
                        strpos(lower(strip_accents(hay)), '{SEARCH_TERM}') AS pos
                      FROM (SELECT conv_id, msg_idx, ts, sender,
                              CASE WHEN text <> '' THEN text ELSE coalesce(filename, '') END AS hay FROM m) x
                      JOIN chat c ON c.chat_id = x.conv_id)
-               WHERE pos > 0 ORDER BY chat_rank, msg_idx LIMIT {p.SEARCH_LIMIT}""",
+               WHERE pos > 0""",
         ),
         "search_accents": _with(
             CHATS,
             f"""SELECT c.chat_rank, c.chat_id, m.msg_idx FROM m JOIN chat c ON c.chat_id = m.conv_id
                WHERE c.is_group AND contains(lower(strip_accents(
-                 CASE WHEN text <> '' THEN text ELSE coalesce(filename, '') END)), 'le')
-               ORDER BY 1, 3 LIMIT {p.SEARCH_LIMIT}""",
+                 CASE WHEN text <> '' THEN text ELSE coalesce(filename, '') END)), 'le')""",
         ),
         "last_preview": _with(
             CHATS,
@@ -530,7 +529,7 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                       THEN concat(x.sender, ': ') ELSE '' END AS prefix,
                  substr(regexp_replace(CASE WHEN x.kind = 'media' AND x.text = ''
                    THEN CASE WHEN x.omitted THEN 'Media' ELSE 'Photo' END ELSE x.text END,
-                   '\s+', ' ', 'g'), 1, {p.PREVIEW_LENGTH}) AS body
+                   '\s+', ' ', 'g'), 1, 120) AS body
                FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM m) x
                JOIN chat c ON c.chat_id = x.conv_id WHERE back = 1""",
         ),
@@ -580,13 +579,13 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
             CHATS,
             f"""SELECT chat_id, title, n_messages, {pct('n_messages', 'total')} AS pct FROM (
                  SELECT *, CAST(sum(n_messages) OVER () AS BIGINT) AS total FROM chat)
-               ORDER BY n_messages DESC, chat_rank LIMIT {p.BUSIEST_LIMIT}""",
+               ORDER BY n_messages DESC, chat_rank LIMIT 10""",
         ),
         "latest_media_archive": _with(
             CHATS,
             f"""SELECT m.conv_id AS chat_id, m.msg_idx, m.ts, m.filename, 'image' AS kind
                FROM m JOIN chat c ON c.chat_id = m.conv_id WHERE m.filename IS NOT NULL
-               ORDER BY m.ts DESC, c.chat_rank, m.msg_idx LIMIT {p.ARCHIVE_MEDIA_LIMIT}""",
+               ORDER BY m.ts DESC, c.chat_rank, m.msg_idx LIMIT 300""",
         ),
         "latest_media_per_chat": _with(
             MERGED,
@@ -612,7 +611,7 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                      AS BIGINT) ELSE 0 END AS run_no
                FROM (SELECT *, kind <> 'system' AND (pt IS NULL OR CAST(ts AS DATE) <> CAST(pt AS DATE)
                    OR sender IS DISTINCT FROM ps OR pk = 'system'
-                   OR floor(epoch(ts)) - floor(epoch(pt)) > {p.RUN_GAP_SECONDS}) AS run_start
+                   OR floor(epoch(ts)) - floor(epoch(pt)) > 900) AS run_start
                  FROM (SELECT *, lag(ts) OVER w AS pt, lag(sender) OVER w AS ps, lag(kind) OVER w AS pk
                        FROM e WINDOW w AS (PARTITION BY chat_id ORDER BY msg_idx)))""",
         ),
@@ -631,8 +630,8 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
         "page_window": _with(
             EVENTS,
             f"""SELECT e.chat_id, e.msg_idx, e.event_id, from_idx AS above FROM e JOIN (
-                 SELECT chat_id, greatest(greatest(CASE WHEN chat_id = 3 THEN 500 - {p.PAGE_SIZE // 3}
-                   ELSE count(*) - {p.PAGE_SIZE} END, 0) - {p.PAGE_SIZE}, 0) AS from_idx
+                 SELECT chat_id, greatest(greatest(CASE WHEN chat_id = 3 THEN 500 - 83
+                   ELSE count(*) - 250 END, 0) - 250, 0) AS from_idx
                  FROM e GROUP BY chat_id) s ON e.chat_id = s.chat_id
                WHERE e.msg_idx >= s.from_idx""",
         ),
@@ -652,7 +651,7 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                FROM m LEFT JOIN people pe ON m.conv_id = pe.conv_id AND m.sender = pe.sender""",
         ),
         "jumbo": """
-SELECT conv_id, turn, turn % 4 IN (0, 3) AS jumbo FROM conversations""",
+SELECT conv_id, turn, turn % 4 IN (0, 3) AS jumbo, false AS text_jumbo FROM conversations""",
         "stamps_and_sizes": """
 WITH b AS (SELECT *, floor(pow(value + 1, 6.0)) AS n FROM events)
 SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S') AS stamp, strftime(ts, '%H:%M') AS clock,

@@ -56,6 +56,13 @@ def _messages(spark, folder) -> tuple[DataFrame, DataFrame]:
     return dedup.merge_messages(fx.raw_messages(v), unit_chat), unit_chat
 
 
+def _unordered(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Merged messages for aggregates, which need no place in the chat."""
+    v = fx.simulated(spark, folder)
+    unit_chat = fx.unit_chat(v)
+    return dedup.merge_messages(fx.raw_messages(v), unit_chat, ranked=False), unit_chat
+
+
 def _with_owner(messages: DataFrame) -> DataFrame:
     return owner.mark_outgoing(messages, fx.OWNER)
 
@@ -114,7 +121,7 @@ def chronological_index(spark, folder):
 
 @query
 def merge_stats(spark, folder):
-    messages, _ = _messages(spark, folder)
+    messages, _ = _unordered(spark, folder)
     return dedup.merge_stats(messages)
 
 
@@ -235,7 +242,7 @@ def owner_override_unknown(spark, folder):
 
 @query
 def outgoing_flags(spark, folder):
-    messages, _ = _messages(spark, folder)
+    messages, _ = _unordered(spark, folder)
     return (
         _with_owner(messages)
         .groupBy("chat_id")
@@ -271,7 +278,7 @@ def media_chats(spark, folder):
 
 @query
 def participants(spark, folder):
-    messages, _ = _messages(spark, folder)
+    messages, _ = _unordered(spark, folder)
     return C.participants(messages)
 
 
@@ -493,7 +500,8 @@ def archives_to_messages(spark, folder):
     texts = materialize(texts, "decoded")
     parsed = P.parse_messages(texts, "dmy")
     return parsed.join(texts.select("unit_idx", "archive"), "unit_idx").select(
-        "archive", "msg_no", "ts", "sender", "kind", "has_seconds"
+        "archive", "msg_no", "ts", "sender", "kind", "has_seconds",
+        F.sha1(X.strip_right(F.col("text"))).alias("text_sha1"),
     )
 
 
@@ -577,47 +585,47 @@ def last_preview(spark, folder):
 
 @query
 def sender_share(spark, folder):
-    return V.sender_share(_messages(spark, folder)[0])
+    return V.sender_share(_unordered(spark, folder)[0])
 
 
 @query
 def attachment_share(spark, folder):
-    return V.attachment_share(_messages(spark, folder)[0])
+    return V.attachment_share(_unordered(spark, folder)[0])
 
 
 @query
 def source_contribution(spark, folder):
-    messages, unit_chat = _messages(spark, folder)
+    messages, unit_chat = _unordered(spark, folder)
     return V.source_contribution(messages, unit_chat, fx.units(fx.simulated(spark, folder)))
 
 
 @query
 def archive_sources(spark, folder):
-    messages, _ = _messages(spark, folder)
+    messages, _ = _unordered(spark, folder)
     return V.archive_sources(messages, fx.units(fx.simulated(spark, folder)))
 
 
 @query
 def chat_overview(spark, folder):
-    return V.chat_overview(_messages(spark, folder)[0])
+    return V.chat_overview(_unordered(spark, folder)[0])
 
 
 @query
 def archive_stats(spark, folder):
-    messages, _ = _messages(spark, folder)
+    messages, _ = _unordered(spark, folder)
     return V.archive_stats(messages, fx.units(fx.simulated(spark, folder)), fx.OWNER)
 
 
 @query
 def busiest_chats(spark, folder):
     messages, unit_chat = _messages(spark, folder)
-    return V.busiest_chats(_chats(messages, unit_chat))
+    return V.busiest_chats(_chats(messages, unit_chat), 10)
 
 
 @query
 def latest_media_archive(spark, folder):
     messages, unit_chat = _messages(spark, folder)
-    return V.latest_media(_linked(messages), _chats(messages, unit_chat))
+    return V.latest_media(_linked(messages), _chats(messages, unit_chat), 300)
 
 
 @query
@@ -659,7 +667,7 @@ def day_labels(spark, folder):
 
 @query
 def chat_stamps(spark, folder):
-    messages, _ = _messages(spark, folder)
+    messages, _ = _unordered(spark, folder)
     ends = messages.groupBy("chat_id").agg(F.max("ts").alias("end_ts"))
     return V.chat_stamps(ends, NOW)
 
@@ -742,7 +750,9 @@ def jumbo(spark, folder):
         .when(style == 2, F.repeat(F.lit("\U0001f44d"), F.lit(13)))
         .otherwise(F.lit("❤️ \U0001f1e7\U0001f1f7"))
     )
-    return rows.select("conv_id", "turn", D.is_jumbo(body).alias("jumbo"))
+    return rows.select(
+        "conv_id", "turn", D.is_jumbo(body).alias("jumbo"), D.is_jumbo(F.col("text")).alias("text_jumbo")
+    )
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Message files are grouped by chat, so that reading a chat opens few of them.
 BUCKETS = 64
 
-TABLES = ("units", "unit_chat", "messages", "chats", "participants", "media_catalog", "warnings")
+TABLES = ("units", "unit_chat", "messages", "chats", "participants", "media_catalog", "media_content", "warnings")
 
 
 def write_archive(archive, folder: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
