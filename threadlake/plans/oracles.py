@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from threadlake.functions import patterns as p
 from threadlake.plans.fixtures import EVENT_BLOCK, OWNER
 from threadlake.plans.queries import EXTENSIONS, SEARCH_TERM
 
@@ -241,7 +240,6 @@ def pct(part: str, whole: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    kinds = ", ".join(f"('{ext}', '{kind}', '{mime}')" for ext, (kind, mime) in p.MEDIA_TYPES.items())
     exts = _sql_list(EXTENSIONS)
     sql = {
         "dedup_messages": _with(
@@ -377,14 +375,35 @@ WITH f AS (
                 ([{exts}])[doc_id % {len(EXTENSIONS)} + 1]) AS filename
   FROM documents
 ),
-t(ext, kind, mime) AS (VALUES {kinds})
+t(ext, kind, mime) AS (VALUES
+  ('jpg', 'image', 'image/jpeg'),
+  ('jpeg', 'image', 'image/jpeg'),
+  ('png', 'image', 'image/png'),
+  ('gif', 'gif', 'image/gif'),
+  ('webp', 'sticker', 'image/webp'),
+  ('heic', 'image', 'image/heic'),
+  ('bmp', 'image', 'image/bmp'),
+  ('mp4', 'video', 'video/mp4'),
+  ('mov', 'video', 'video/quicktime'),
+  ('3gp', 'video', 'video/3gpp'),
+  ('webm', 'video', 'video/webm'),
+  ('avi', 'video', 'video/x-msvideo'),
+  ('opus', 'voice', 'audio/ogg'),
+  ('ogg', 'voice', 'audio/ogg'),
+  ('m4a', 'audio', 'audio/mp4'),
+  ('aac', 'audio', 'audio/aac'),
+  ('mp3', 'audio', 'audio/mpeg'),
+  ('wav', 'audio', 'audio/wav'),
+  ('amr', 'audio', 'audio/amr'),
+  ('vcf', 'contact', 'text/vcard'),
+  ('pdf', 'document', 'application/pdf'))
 SELECT doc_id, CASE WHEN t.kind = 'contact' THEN 'contact' ELSE 'media' END AS kind, filename,
        CASE WHEN t.kind = 'audio' AND starts_with(filename, 'PTT-') THEN 'voice'
             ELSE coalesce(t.kind, 'document') END AS attachment_kind,
        coalesce(mime, 'application/octet-stream') AS mime
 FROM f LEFT JOIN t ON f.ext = t.ext""",
         "message_kinds": """
-WITH c AS (SELECT *, conv_id % 8 AS style, split_part(text, chr(10), 1) AS first FROM conversations),
+WITH c AS (SELECT *, conv_id % 8 AS style, translate(text, chr(13) || chr(10), '  ') AS first FROM conversations),
 h AS (
   SELECT *, CASE style WHEN 0 THEN 'deleted' WHEN 1 THEN 'poll' WHEN 2 THEN 'call' WHEN 3 THEN 'location'
     WHEN 4 THEN 'media' WHEN 6 THEN 'contact' ELSE 'text' END AS spoken,
@@ -403,21 +422,22 @@ FROM h""",
 SELECT conv_id, turn,
   CASE WHEN turn % 4 = 0 THEN role
        WHEN turn % 4 = 3 AND length(repeat(role, 20)) <= 72 THEN repeat(role, 20) END AS sender,
-  CASE turn % 4 WHEN 0 THEN split_part(text, chr(10), 1)
-    WHEN 1 THEN concat(role, ' changed the subject to "Q1: close" ', split_part(text, chr(10), 1))
-    WHEN 2 THEN concat(role, ': ', split_part(text, chr(10), 1))
-    ELSE concat(repeat(role, 20), ': ', split_part(text, chr(10), 1)) END AS text
+  CASE turn % 4 WHEN 0 THEN translate(text, chr(13) || chr(10), '  ')
+    WHEN 1 THEN concat(role, ' changed the subject to "Q1: close" ', translate(text, chr(13) || chr(10), '  '))
+    WHEN 2 THEN concat(role, ': ', translate(text, chr(13) || chr(10), '  '))
+    ELSE concat(repeat(role, 20), ': ', translate(text, chr(13) || chr(10), '  ')) END AS text
 FROM conversations""",
         "rare_senders": """
 WITH r AS (
   SELECT conv_id AS unit_idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg_no,
     CASE WHEN turn = 1 OR (turn = 2 AND conv_id % 2 = 0) THEN 'Zoe left' ELSE role END AS sender,
-    count(*) FILTER (WHERE turn = 1 OR (turn = 2 AND conv_id % 2 = 0)) OVER (PARTITION BY conv_id) AS n
+    count(*) FILTER (WHERE turn = 1 OR (turn = 2 AND conv_id % 2 = 0)) OVER (PARTITION BY conv_id) AS n,
+    trim(translate(text, chr(13) || chr(10), '  ')) AS body
   FROM conversations
 )
 SELECT unit_idx, msg_no, CASE WHEN sender = 'Zoe left' AND n = 1 THEN NULL ELSE sender END AS sender,
   CASE WHEN sender = 'Zoe left' AND n = 1 THEN 'system' ELSE 'text' END AS kind,
-  CASE WHEN sender = 'Zoe left' AND n = 1 THEN 'Zoe left: hello' ELSE 'hello' END AS text
+  CASE WHEN sender = 'Zoe left' AND n = 1 THEN concat('Zoe left: ', body) ELSE body END AS text
 FROM r""",
         "parse_warnings": """
 WITH c AS (

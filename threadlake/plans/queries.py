@@ -42,6 +42,11 @@ def joined(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
+def one_line(column: str) -> Column:
+    """A whole text as one line of a transcript."""
+    return F.translate(column, "\r\n", "  ")
+
+
 # --- shared inputs -------------------------------------------------------------------------
 
 
@@ -371,7 +376,7 @@ def message_kinds(spark, folder):
     """Bodies of every kind around the texts of the conversations."""
     rows = fx.table(spark, folder, "conversations")
     style = F.col("conv_id") % 8
-    first = F.substring_index("text", "\n", 1)
+    first = one_line("text")
     head = (
         F.when(style == 0, F.lit("‎This message was deleted"))
         .when(style == 1, F.concat(F.lit("POLL: "), first))
@@ -396,7 +401,7 @@ def system_lines(spark, folder):
     """Which header lines have a sender: names, notices with a colon, marked notices."""
     rows = fx.table(spark, folder, "conversations")
     style = F.col("turn") % 4
-    first = F.substring_index("text", "\n", 1)
+    first = one_line("text")
     line = (
         F.when(style == 0, F.concat("role", F.lit(": "), first))
         .when(style == 1, F.concat("role", F.lit(' changed the subject to "Q1: close" '), first))
@@ -417,7 +422,8 @@ def rare_senders(spark, folder):
         F.col("conv_id").alias("unit_idx"),
         F.col("turn").alias("msg_no"),
         F.concat(
-            F.lit("13/01/2026, 10:0"), F.col("turn").cast("string"), F.lit(" - "), sender, F.lit(": hello")
+            F.lit("13/01/2026, 10:0"), F.col("turn").cast("string"), F.lit(" - "), sender, F.lit(": "),
+            F.trim(one_line("text")),
         ).alias("line"),
     )
     return P.parse_messages(fx.join_lines(lines)).select("unit_idx", "msg_no", "sender", "kind", "text")
@@ -430,7 +436,7 @@ def parse_warnings(spark, folder):
     style = F.col("conv_id") % 4
     stamp = F.when(style == 1, F.lit("13/01/2026, 10:00 - A: ")).otherwise("03/01/2026, 10:00 - A: ")
     loose = (style == 3) | ((style == 2) & (F.col("turn") == 0))
-    word = F.translate(F.substring_index("text", "\n", 1), "\r", " ")
+    word = one_line("text")
     lines = rows.select(
         F.col("conv_id").alias("unit_idx"),
         F.col("turn").alias("msg_no"),
