@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import re
 
-from threadlake.llm.licence_scan import SENTENCE, THRESHOLD, _words, licence_matches, template_bigrams
+from threadlake.llm.licence_scan import SENTENCE, THRESHOLD, _words, anchor_words, licence_matches, template_bigrams
 from threadlake.llm.licence_texts import TEMPLATES
 
 
@@ -51,3 +51,13 @@ def test_against_brute_force(spark):
 def test_no_python_and_no_shuffle(spark, documents):
     plan = licence_matches(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Exchange|Python|Arrow|Pandas", plan)
+
+
+def test_anchor_words_are_needed():
+    """Without its anchored bigrams no template keeps enough to reach the threshold."""
+    shapes = template_bigrams(TEMPLATES)
+    for threshold in (0.3, 0.8, 1.0):
+        anchors = set(anchor_words(shapes, threshold))
+        for _, pairs in shapes:
+            left = [p for p in pairs if not anchors & set(p.split(" "))]
+            assert 2 * len(left) / (len(left) + len(pairs)) < threshold

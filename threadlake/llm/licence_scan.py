@@ -3,8 +3,11 @@
 A text is looked at as a whole, by line and by sentence.  Each such unit is
 normalised to its words and compared as a set of word bigrams with every template
 whose size allows the threshold: a Dice coefficient of t needs sizes within the
-factors t / (2 - t) and (2 - t) / t.  Before that, a unit without a bigram of any
-template is dropped, since its coefficient is 0 with all.
+factors t / (2 - t) and (2 - t) / t.  The same bound says how many of a template's
+bigrams a match must share, so a few anchor words, which stand in more of each template's
+bigrams than a match can do without, must occur in every text that matches:
+texts without an anchor word are not looked at further, nor are units without
+a bigram of any template.
 
 Everything is built-in column expressions in one pass over the scan, with no
 shuffle; the templates are a constant of the plan.
@@ -12,7 +15,9 @@ shuffle; the templates are a constant of the plan.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +27,12 @@ from threadlake.llm.licence_texts import TEMPLATES
 
 THRESHOLD = 0.8
 
+#: Words that most English texts have.
+COMMON = frozenset(
+    "a all an and any are as at be by can copy for from in is it may must no not of on one or out see such that the "
+    "their this to under use with without you your".split()
+)
+
 #: Where sentences end: punctuation and white space behind it, or a line break.
 SENTENCE = r"(?<=[.!?])[ \t]+|\n"
 
@@ -39,6 +50,27 @@ def template_bigrams(templates: Sequence[tuple[str, str]]) -> list[tuple[str, li
     return out
 
 
+def anchor_words(shapes: Sequence[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold with a template has one.
+
+    A match shares at least the part t / (2 - t) of the template's bigrams, so it
+    is enough that the words touch all of the others and one more.  Words that
+    are common in any text are taken last, else those that touch most.
+    """
+    low = threshold / (2 - threshold)
+    open_ = []
+    for _, pairs in shapes:
+        needed = len(pairs) - math.ceil(low * len(pairs) - 1e-9) + 1
+        open_.append(([set(p.split(" ")) for p in pairs], needed))
+    chosen: list[str] = []
+    while open_ := [(p, n) for p, n in open_ if n > 0 and p]:
+        counts = Counter(w for pairs, _ in open_ for pair in pairs for w in pair)
+        word = max(counts, key=lambda w: (w not in COMMON, not w.isdigit(), counts[w], w))
+        chosen.append(word)
+        open_ = [([p for p in pairs if word not in p], n - sum(word in p for p in pairs)) for pairs, n in open_]
+    return sorted(chosen)
+
+
 def bigrams(words: Column) -> Column:
     """The distinct neighbouring pairs of an array of words."""
     most = F.greatest(F.size(words) - 1, F.lit(0))
@@ -72,9 +104,10 @@ def licence_matches(
             parts, lambda part, i: F.struct(F.lit(scope).alias("scope"), i.alias("place"), part.alias("part"))
         )
 
-    plain = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"),
-        F.replace(F.lower(F.col(text).cast("string")), F.lit("licence"), F.lit("license")).alias("t"),
+    lowered = F.replace(F.lower(F.col(text).cast("string")), F.lit("licence"), F.lit("license"))
+    anchored = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchor_words(shapes, threshold))})(?![\p{{L}}\p{{N}}])"
+    plain = docs.filter(lowered.rlike(anchored)).select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), lowered.alias("t")
     )
     units = plain.select(
         "doc_id",
@@ -86,11 +119,15 @@ def licence_matches(
             )
         ).alias("unit"),
     ).select("doc_id", "unit.*")
+    # The row number is no part of the result: a column that is not a function of
+    # the row keeps the filters below from being moved under, and so repeating, the
+    # expressions they use.
+    here = F.monotonically_increasing_id().alias("here")
     words = units.select(
-        "doc_id", "scope", "place", F.filter(F.split("part", r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words")
+        "doc_id", "scope", "place", here, F.filter(F.split("part", r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words")
     )
-    pairs = words.select("doc_id", "scope", "place", bigrams(F.col("words")).alias("pairs"))
-    near = pairs.filter(F.exists("pairs", lambda b: b.isin(every)))
+    pairs = words.select("doc_id", "scope", "place", here, bigrams(F.col("words")).alias("pairs"))
+    near = pairs.filter((F.col("here") >= 0) & F.exists("pairs", lambda b: b.isin(every)))
     size = F.size("pairs")
 
     def dice(place: int, name: str, pairs_of: list[str]) -> Column:
@@ -107,8 +144,8 @@ def licence_matches(
 
     best = F.array_max(F.array(*[dice(i, name, p) for i, (name, p) in enumerate(shapes)]))
     return (
-        near.withColumn("best", best)
-        .filter(F.col("best.dice") >= threshold)
+        near.select("doc_id", "scope", "place", "pairs", here, best.alias("best"))
+        .filter((F.col("here") >= 0) & (F.col("best.dice") >= threshold))
         .select("doc_id", "scope", "place", "best.licence", "best.dice", size.alias("n_bigrams"))
     )
 
