@@ -175,9 +175,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .agg(F.min("first").alias("lowest"))
     )
     groups = members.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
-    classes = prints.join(groups, "fp", "left").select(
-        "fp", F.coalesce("lowest", "first").alias("component_id")
+    classes = materialize(
+        prints.join(groups, "fp", "left").select(
+            "fp", F.coalesce("lowest", "first").alias("component_id")
+        ),
+        "classes",
     )
+    # Two plain shuffles, so that Spark can split the partition of a hot fingerprint.
     return marks.join(classes, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
