@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pytest
 
@@ -36,12 +37,34 @@ def test_pages(spark):
 
 
 def test_held_out_layouts(extract):
-    right = 0
-    pages = labelled_pages(150, seed=12345)
+    """Layouts of another seed, some of them ambiguous by their names: by block and by whole page."""
+    extractor, whole, right, blocks_seen = Extractor(trained()), 0, 0, 0
+    pages = labelled_pages(200, seed=12345)
     for page in pages:
-        want = "\n".join(b.text for b in leaf_blocks(page) if any(e.marked for e in b.path))
-        right += extract(page) == want
-    assert right >= 0.97 * len(pages)
+        blocks = leaf_blocks(page)
+        want = [b.text for b in blocks if any(e.marked for e in b.path)]
+        got = extractor.text(page).split("\n")
+        wrong = sum((Counter(want) - Counter(got)).values()) + sum((Counter(got) - Counter(want)).values())
+        blocks_seen += len(blocks)
+        right += len(blocks) - wrong
+        whole += got == want
+    assert right >= 0.99 * blocks_seen
+    assert whole >= 0.95 * len(pages)
+
+
+def test_unseen_layouts(extract):
+    """Pages written for this test, with names that the training pages do not use together."""
+    story = "<h1>Big story</h1><p>First paragraph of it.</p>{}<p>Short.</p>"
+    want = "Big story\nFirst paragraph of it.\nShort."
+    around = [
+        "<header><a href='/'>Site</a><nav><a href='/a'>A</a></nav></header><main>{}</main><aside class='sidebar'><p>Teaser text.</p></aside><footer><p>Foo.</p></footer>",
+        "<div class='site-header'>My site</div><div class='cookie-banner'>We use cookies.</div><div class='post-content'>{}</div><div id='comments'><div class='comment-body'><p>I liked this.</p></div></div><div id='footer'>Foo.</div>",
+        "<nav><ul><li><a href=/>Home</a></ul></nav><article>{}</article><div class='ads-top'>Buy our stuff.</div><div class='related-posts'><h4>More</h4><p>One more story.</p></div>",
+        "<div class='site-notice'>Please donate.</div><div class='menu'><ul><li>Start</li></ul></div><section>{}</section><div class='sponsored-content'><p>From a partner.</p></div>",
+    ]
+    for inner in ("", "<div class='advertisement'>Buy now.</div>"):
+        for page in around:
+            assert extract(f"<html><body>{page.format(story.format(inner))}</body></html>") == want
 
 
 def test_blocks():

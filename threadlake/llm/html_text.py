@@ -36,6 +36,10 @@ def path_features(path: tuple[Element, ...]) -> list[str]:
         # Stems, so that plurals and compounds share a weight.
         out.add(f"name:{name[:5]}")
     out.add("named" if names else "nameless")
+    deepest = next((e for e in reversed(path) if e.names), None)
+    if deepest is not None:
+        out.update(f"deep:{n[:5]}" for n in deepest.names)
+        out.add(f"deep tag:{deepest.tag}")
     return sorted(out)
 
 

@@ -36,10 +36,38 @@ def _title(rng: random.Random) -> str:
     return _words(rng, rng.randint(2, 9)).capitalize() + rng.choice(("", "."))
 
 
-def _body(rng: random.Random, mark: str) -> str:
+# Words that pages use in class names and ids, by what the element holds.
+_AD = "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion commercial".split()
+_NOTICE = (
+    "cookie notice consent alert gdpr popup subscribe newsletter signup announcement warning message modal banner "
+    "disclaimer"
+).split()
+_NAV = "menu nav navbar navigation breadcrumb breadcrumbs topnav toolbar tabs pagination toc links".split()
+_SIDE = "sidebar side widget related recommended more popular trending tags share social author bio profile".split()
+_COMMENT = "comment comments commentlist replies reply discussion responses reviews feedback thread".split()
+_FOOT = "footer bottom copyright legal colophon credits".split()
+_HEAD = "header masthead top branding logo".split()
+_MAIN = "content post entry story main article text body page".split()
+_BEFORE = "site page reader post main top user".split()
+_BEHIND = "box block wrapper area content body inner list item top section bar".split()
+
+
+def _named(rng: random.Random, words: list[str]) -> str:
+    """A class or id attribute with one of the words, alone or in a compound."""
+    word = rng.choice(words)
+    form = rng.random()
+    if form < 0.2:
+        word = f"{word}-{rng.choice(_BEHIND)}"
+    elif form < 0.35:
+        word = f"{rng.choice(_BEFORE)}-{word}"
+    return f'{rng.choice(("class", "class", "id"))}="{word}"'
+
+
+def _blocks(rng: random.Random, mark: str) -> list[str]:
     """Blocks of an article; ``mark`` labels them where no element around does."""
-    out, level = [], rng.choice(("h1", "h1", "h2"))
-    out.append(f"<{level}{mark}>{_title(rng)}</{level}>")
+    level = rng.choice(("h1", "h1", "h2"))
+    title = f"<{level}{mark}>{_title(rng)}</{level}>"
+    out = [f"<header>{title}</header>" if rng.random() < 0.12 else title]
     for _ in range(rng.randint(1, 12)):
         kind = rng.random()
         if kind < 0.62:
@@ -60,44 +88,56 @@ def _body(rng: random.Random, mark: str) -> str:
             out.append(f'<p{mark}>{_sentence(rng)} <a href="/x">{_words(rng, 3)}</a> {_sentence(rng)}</p>')
         else:
             out.append(f"<pre{mark}>{_words(rng, 12)}</pre>")
-    return "".join(out)
+    return out
 
 
 def _inside(rng: random.Random) -> str:
     """What stands within an article's element without being its text."""
     return rng.choice(
         (
-            "",
-            "",
-            f'<div class="{rng.choice(("ad", "ads", "advert", "sponsored", "promo"))}">{_sentence(rng)}</div>',
-            f'<aside><h4>{_title(rng)}</h4><ul>{_links(rng)}</ul></aside>',
+            f"<div {_named(rng, _AD)}>{_sentence(rng)}</div>",
+            f"<div {_named(rng, _AD)}><p>{_text(rng)}</p></div>",
+            f"<aside><h4>{_title(rng)}</h4><ul>{_links(rng)}</ul></aside>",
+            f"<div {_named(rng, _SIDE)}><p>{_sentence(rng)}</p></div>",
             f'<div class="share"><button>{_words(rng, 1)}</button><button>{_words(rng, 2)}</button></div>',
             f'<form><label>{_words(rng, 2)}</label><input type="text"><button>{_words(rng, 1)}</button></form>',
+            f"<div {_named(rng, _NOTICE)}><p>{_sentence(rng)}</p></div>",
             f'<nav class="toc">{_links(rng, "p")}</nav>',
-            f'<section class="comments"><h3>{_title(rng)}</h3><div class="comment"><p>{_text(rng)}</p></div></section>',
         )
     )
 
 
 def _article(rng: random.Random) -> str:
-    kind = rng.random()
-    if kind < 0.55:
+    if rng.random() < 0.4:
         tag = rng.choice(("article", "article", "main"))
-        return f"<{tag} data-main>{_body(rng, '')}</{tag}>" if rng.random() < 0.6 else (
-            f"<{tag}>{_body(rng, ' data-main')}{_inside(rng)}</{tag}>"
+        return f"<{tag} data-main>{''.join(_blocks(rng, ''))}</{tag}>"
+    blocks = _blocks(rng, " data-main")
+    for _ in range(rng.choice((0, 1, 2, 3))):
+        blocks.insert(rng.randint(1, len(blocks)), _inside(rng))
+    end = rng.choice(
+        (
+            "",
+            "",
+            f"<footer>{_sentence(rng)}</footer>",
+            f"<section {_named(rng, _COMMENT)}><h3>{_title(rng)}</h3><div><p>{_text(rng)}</p></div></section>",
         )
-    if kind < 0.9:
-        name = rng.choice(("content", "post", "entry", "story", "main-content", "article-body", "text", "page-content", "body"))
-        return f'<div {rng.choice(("id", "class"))}="{name}">{_body(rng, " data-main")}{_inside(rng)}</div>'
-    return f"<div>{_body(rng, ' data-main')}</div>"
+    )
+    body = "".join(blocks) + end
+    shape = rng.choice(("article", "main", "section", "div", "named", "named", "both"))
+    if shape == "named":
+        return f"<div {_named(rng, _MAIN)}>{body}</div>"
+    if shape == "both":
+        return f"<main><article><div {_named(rng, _MAIN)}>{body}</div></article></main>"
+    return f"<{shape}>{body}</{shape}>"
 
 
 def _before(rng: random.Random) -> str:
     nav = rng.choice(
         (
             f"<nav><ul>{_links(rng)}</ul></nav>",
-            f'<div class="{rng.choice(("menu", "nav", "navbar", "topnav", "navigation", "breadcrumb"))}">{_links(rng, "span")}</div>',
-            f'<ul id="{rng.choice(("menu", "main-menu", "nav"))}">{_links(rng)}</ul>',
+            f"<div {_named(rng, _NAV)}>{_links(rng, 'span')}</div>",
+            f"<ul {_named(rng, _NAV)}>{_links(rng)}</ul>",
+            f"<div {_named(rng, _NAV)}><ul><li>{_words(rng, 1)}</li><li>{_words(rng, 2)}</li></ul></div>",
             f'<div role="navigation"><p>{_words(rng, 2)}</p><ul>{_links(rng)}</ul></div>',
         )
     )
@@ -105,8 +145,8 @@ def _before(rng: random.Random) -> str:
         (
             "",
             f"<header><h1>{_title(rng)}</h1><p>{_sentence(rng)}</p></header>",
-            f'<div id="{rng.choice(("header", "masthead", "top"))}"><h2>{_title(rng)}</h2>{_sentence(rng)}</div>',
-            f'<header class="site-header"><a href="/">{_words(rng, 2)}</a><p>{_sentence(rng)}</p></header>',
+            f"<div {_named(rng, _HEAD)}><h2>{_title(rng)}</h2>{_sentence(rng)}</div>",
+            f'<header {_named(rng, _HEAD)}><a href="/">{_words(rng, 2)}</a><p>{_sentence(rng)}</p></header>',
         )
     )
     return rng.choice((head + nav, nav + head, nav)) + _between(rng)
@@ -116,11 +156,11 @@ def _between(rng: random.Random) -> str:
     return "".join(
         rng.sample(
             (
-                "",
-                f'<!-- ad --><div class="{rng.choice(("ad", "ads", "advert", "advertisement", "banner", "sponsor", "promo"))}">{_text(rng)}</div>',
-                f'<div class="{rng.choice(("cookie", "cookie-notice", "notice", "consent", "alert", "gdpr", "banner", "popup", "subscribe"))}"><p>{_text(rng)}</p><button>{_words(rng, 1)}</button></div>',
+                f"<!-- ad --><div {_named(rng, _AD)}>{_text(rng)}</div>",
+                f"<div {_named(rng, _AD)}><p>{_text(rng)}</p></div>",
+                f"<div {_named(rng, _NOTICE)}><p>{_text(rng)}</p><button>{_words(rng, 1)}</button></div>",
+                f"<div {_named(rng, _NOTICE)}>{_sentence(rng)}</div>",
                 f'<form action="/s"><label>{_words(rng, 2)}</label><select><option>{_words(rng, 1)}<option>{_words(rng, 1)}</select><button>{_words(rng, 1)}</button></form>',
-                f'<div id="{rng.choice(("notice", "cookie-bar", "message"))}">{_sentence(rng)}</div>',
             ),
             k=rng.choice((0, 1, 1, 2)),
         )
@@ -132,30 +172,35 @@ def _after(rng: random.Random) -> str:
         (
             "",
             f"<aside><h3>{_title(rng)}</h3><p>{_text(rng)}</p><ul>{_links(rng)}</ul></aside>",
-            f'<div class="{rng.choice(("sidebar", "side", "widget", "related", "recommended", "more"))}"><h3>{_title(rng)}</h3><p>{_text(rng)}</p>{_links(rng, "p")}</div>',
+            f"<div {_named(rng, _SIDE)}><h3>{_title(rng)}</h3><p>{_text(rng)}</p>{_links(rng, 'p')}</div>",
+            f"<section {_named(rng, _SIDE)}><h3>{_title(rng)}</h3><p>{_text(rng)}</p></section>",
         )
     )
     comments = rng.choice(
         (
             "",
-            f'<section id="comments"><h2>{_title(rng)}</h2>'
-            + "".join(f'<div class="comment"><p>{_words(rng, 1)}</p><p>{_text(rng)}</p></div>' for _ in range(rng.randint(1, 4)))
+            f"<section {_named(rng, _COMMENT)}><h2>{_title(rng)}</h2>"
+            + "".join(
+                f"<div {_named(rng, _COMMENT)}><p>{_words(rng, 1)}</p><p>{_text(rng)}</p></div>"
+                for _ in range(rng.randint(1, 4))
+            )
             + "</section>",
-            f'<div class="{rng.choice(("comments", "comment-list", "replies", "discussion", "responses"))}"><article class="comment"><p>{_text(rng)}</p></article><ol><li><p>{_text(rng)}</p></li></ol></div>',
-            f'<ul class="{rng.choice(("comments", "commentlist", "reviews"))}"><li>{_text(rng)}</li><li>{_text(rng)}</li></ul>',
+            f"<div {_named(rng, _COMMENT)}><article {_named(rng, _COMMENT)}><p>{_text(rng)}</p></article><ol><li><p>{_text(rng)}</p></li></ol></div>",
+            f"<ul {_named(rng, _COMMENT)}><li>{_text(rng)}</li><li><p>{_text(rng)}</p></li></ul>",
         )
     )
     foot = rng.choice(
         (
             f"<footer>&copy; {_words(rng, 2)} &middot; {_sentence(rng)}</footer>",
             f"<footer><p>{_sentence(rng)}</p><ul>{_links(rng)}</ul></footer>",
-            f'<div {rng.choice(("id", "class"))}="{rng.choice(("footer", "site-footer", "bottom", "copyright"))}"><p>{_text(rng)}</p>&copy; {_words(rng, 1)}</div>',
+            f"<div {_named(rng, _FOOT)}><p>{_text(rng)}</p>&copy; {_words(rng, 1)}</div>",
+            f"<div {_named(rng, _FOOT)}>{_sentence(rng)}</div>",
         )
     )
     return "".join(rng.sample((side, comments, _between(rng)), k=3)) + foot
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 800, seed: int = 7) -> list[str]:
     """Pages in all combinations of the layouts, the same for the same seed."""
     rng = random.Random(seed)
     pages = []
