@@ -15,11 +15,12 @@ fragments' alternatives that lose least.
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections.abc import Iterator
+from array import array
 from functools import lru_cache
+from heapq import heappop, heappush, nsmallest
 from math import inf
+from string import punctuation
 
 import numpy as np
 
@@ -32,9 +33,8 @@ UNKNOWN_PENALTY = 10.0
 CACHE = 1 << 19
 
 #: A line break, or the space before a word with the word, or space at the end.
+_PUNCTUATION = frozenset(punctuation)
 _FRAGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-_ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_STOPS = frozenset(",.")
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -61,14 +61,14 @@ class PieceLattice:
         self._longest = max(map(len, self._score))
         self._unknown = min(score for _, score in self._score.values()) - UNKNOWN_PENALTY
         inner = {pair for piece in self._score for pair in zip(piece, piece[1:])}
-        # Whether the three kinds of cuts are safe, that is, no piece stands across.
+        # A cut is safe where no piece stands across.
         self._cuts = not any((b == SPACE and a != SPACE) or "\n" in (a, b) for a, b in inner)
-        self._stops = not any(a in _ALNUM and b in _STOPS for a, b in inner)
+        self._inner = inner
         self._known: dict[str, tuple[float, float, bytes, bytes]] = {}
         self._lists: dict[tuple[str, int], list[Path]] = {}
 
-    def search(self, text: str) -> Iterator[Path]:
-        """All segmentations of an escaped text with their scores, best first.
+    def search(self, text: str, most_paths: int) -> list[Path]:
+        """The best segmentations of an escaped text with their scores, best first.
 
         Of equal scores the one that A-star reaches first, which is the same in
         every run.
@@ -95,36 +95,37 @@ class PieceLattice:
             best.append(most)
         # Later entries first among equals, so that one path is followed to its end.
         heap: list[tuple[float, int, int, float, tuple | None]] = [(-best[n], 0, n, 0.0, None)]
-        entry = 0
-        while heap:
-            _, _, place, behind, path = heapq.heappop(heap)
+        entry, found_paths = 0, []
+        while heap and len(found_paths) < most_paths:
+            _, _, place, behind, path = heappop(heap)
             if place == 0:
                 ids: list[int] = []
                 while path is not None:
                     ids += path[0]
                     path = path[1]
-                yield behind, tuple(ids)
+                found_paths.append((behind, tuple(ids)))
                 continue
             for begin, pieces, score in ending[place]:
                 entry -= 1
                 total = behind + score
-                heapq.heappush(heap, (-(total + best[begin]), entry, begin, total, (pieces, path)))
+                heappush(heap, (-total - best[begin], entry, begin, total, (pieces, path)))
+        return found_paths
 
     def _alternatives(self, fragment: str, n: int) -> list[Path]:
         key = (fragment, n)
         if key not in self._lists:
             if len(self._lists) >= CACHE:
                 self._lists.clear()
-            self._lists[key] = [path for path, _ in zip(self.search(fragment), range(n))]
+            self._lists[key] = self.search(fragment, n)
         return self._lists[key]
 
     def _learn(self, fragment: str) -> tuple[float, float, bytes, bytes]:
         """Best score, loss of the second best, best ids and their text."""
         if len(self._known) >= CACHE:
             self._known.clear()
-        first, second = (*(path for path, _ in zip(self.search(fragment), range(2))), None)[:2]
-        loss = first[0] - second[0] if second else inf
-        ids = np.array(first[1], "<u4").tobytes()
+        first, *second = self.search(fragment, 2)
+        loss = first[0] - second[0][0] if second else inf
+        ids = array("I", first[1]).tobytes()
         out = self._known[fragment] = (first[0], loss, ids, self.decode(first[1]))
         return out
 
@@ -134,15 +135,15 @@ class PieceLattice:
         escaped = SPACE + text.replace(" ", SPACE)
         if not self._cuts:
             return [escaped]
-        parts = _FRAGMENT.findall(escaped)
-        if not self._stops:
-            return parts
         out = []
-        for part in parts:
-            if part[-1] in _STOPS and part[-2:-1] in _ALNUM and len(part) > 1:
-                out += (part[:-1], part[-1])
-            else:
-                out.append(part)
+        for part in _FRAGMENT.findall(escaped):
+            if part[-1] in _PUNCTUATION:
+                # Punctuation behind a word, where no piece joins the two.
+                word = part.rstrip(punctuation)
+                if word and (word[-1], part[len(word)]) not in self._inner:
+                    out += (word, part[len(word) :])
+                    continue
+            out.append(part)
         return out
 
     def decode(self, ids: tuple[int, ...]) -> bytes:
@@ -157,17 +158,19 @@ class PieceLattice:
         """
         text = text or ""
         fragments = self._fragments(text)
-        known = self._known
-        rows = [known.get(f) or self._learn(f) for f in fragments]
-        total = float(sum(r[0] for r in rows))
-        whole = b"".join([r[3] for r in rows])
-        same = whole[1:] == text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-        parts = [r[2] for r in rows]
+        if not fragments:
+            return [(0.0, b"", True)]
+        rows = list(map(self._known.get, fragments))
+        if None in rows:
+            rows = [row or self._known.get(f) or self._learn(f) for row, f in zip(rows, fragments)]
+        scores, second, parts, texts = zip(*rows)
+        total = float(sum(scores))
+        same = b"".join(texts)[1:] == text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
         out = [(total, b"".join(parts), same)]
-        if n < 2 or not rows:
+        if n < 2:
             return out
         # Only the fragments that lose least can differ from the best in the n best.
-        losses = np.array([r[1] for r in rows])
+        losses = np.array(second)
         loose = np.argsort(losses, kind="stable")[: n - 1]
         choices: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         lists = []
@@ -179,14 +182,14 @@ class PieceLattice:
                 for loss, chosen in choices
                 for k, (score, _) in enumerate(options)
             ]
-            choices = heapq.nsmallest(n, grown)
+            choices = nsmallest(n, grown)
         for loss, chosen in choices[1:]:
             changed = list(parts)
             text_changed = None
             for (at, options), k in zip(lists, chosen):
                 if k:
-                    changed[at] = np.array(options[k][1], "<u4").tobytes()
-                    back = self.decode(options[k][1]) == rows[at][3]
+                    changed[at] = array("I", options[k][1]).tobytes()
+                    back = self.decode(options[k][1]) == texts[at]
                     text_changed = back if text_changed is None else text_changed and back
             out.append((total - loss, b"".join(changed), same and text_changed is not False))
         return out
