@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-#: Elements whose content is never text of the page.
-SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video"
+#: Elements whose content is no markup; without an end tag they run to the end of the page.
+RAW = frozenset("script style noscript title iframe".split())
+#: Other elements whose content is no text of the page, if they are closed within their parent.
+SKIPPED = frozenset("template svg math object canvas audio video".split())
+#: Those of them that may be empty elements, as may the raw ones within them.
+FOREIGN = frozenset("svg math".split())
 
 #: Elements that stand within a line of text; all other known ones end a block.
 INLINE = frozenset(
@@ -38,12 +43,13 @@ CLOSES = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{SKIPPED})\b[^>]*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
+    rf"|<(?P<raw>{'|'.join(sorted(RAW))})(?=[\s/>])[^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _MARK = re.compile(r"\bdata-main\b", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -76,8 +82,22 @@ def _element(tag: str, attributes: str) -> Element:
     return Element(tag, tuple(dict.fromkeys(names)), _MARK.search(attributes) is not None)
 
 
-def _close(stack: list[Element], tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-    for at in range(len(stack) - 1, -1, -1):
+@dataclass(frozen=True)
+class Skip:
+    """An open element of ``SKIPPED`` and what there was before it, to go back to at its end tag."""
+
+    tag: str
+    depth: int
+    blocks: int
+    current: Block | None
+    parts: int
+    link_chars: int
+    links: int
+    anchors: int
+
+
+def _close(stack: list[Element], tags: tuple[str, ...], stop: tuple[str, ...], floor: int) -> None:
+    for at in range(len(stack) - 1, floor - 1, -1):
         if stack[at].tag in stop:
             return
         if stack[at].tag in tags:
@@ -85,13 +105,32 @@ def _close(stack: list[Element], tags: tuple[str, ...], stop: tuple[str, ...]) -
             return
 
 
+def _tokens(page: str, skips: list[Skip]) -> Iterator[re.Match]:
+    """The tokens of a page but for raw elements, which are passed over."""
+    at = 0
+    while at < len(page):
+        token = _TOKEN.match(page, at)
+        at = token.end()
+        raw = token["raw"]
+        if raw is None:
+            yield token
+        elif not (token[0].endswith("/>") and any(s.tag in FOREIGN for s in skips)):
+            end = _RAW_END[raw.lower()].search(page, at)
+            at = end.end() if end else len(page)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The page's non-blank blocks in order, with references decoded and white space folded."""
+    """The page's non-blank blocks in order, with references decoded and white space folded.
+
+    What stands in a closed element of ``SKIPPED`` is left out; one that is not
+    closed before its parent is, or at all, leaves out nothing.
+    """
     stack: list[Element] = []
+    skips: list[Skip] = []
     blocks: list[Block] = []
     current: Block | None = None
     anchors = 0
-    for token in _TOKEN.finditer(page or ""):
+    for token in _tokens(page or "", skips):
         text = token["text"]
         if text is not None:
             if current is None:
@@ -111,6 +150,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if current is not None:
                 current.parts.append("\n")
             continue
+        if tag in SKIPPED:
+            if not token["end"]:
+                empty = tag in FOREIGN and token["attrs"].endswith("/")
+                if not empty and len(skips) < DEPTH:
+                    was = (len(current.parts), current.link_chars, current.links) if current else (0, 0, 0)
+                    skips.append(Skip(tag, len(stack), len(blocks), current, *was, anchors))
+                continue
+            at = next((i for i in range(len(skips) - 1, -1, -1) if skips[i].tag == tag), None)
+            if at is not None:
+                skip = skips[at]
+                del skips[at:], stack[skip.depth :], blocks[skip.blocks :]
+                current, anchors = skip.current, skip.anchors
+                if current is not None:
+                    del current.parts[skip.parts :]
+                    current.link_chars, current.links = skip.link_chars, skip.links
+            continue
         # An unknown element stands within its line, as in a browser.
         if tag in BLOCK:
             current = None
@@ -122,8 +177,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at].tag == tag:
                     del stack[at:]
+                    while skips and skips[-1].depth > at:
+                        skips.pop()
                     break
             continue
+        # A start tag within a skipped element closes nothing around it.
+        floor = skips[-1].depth if skips else 0
         if tag == "a":
             anchors = 1
             if current is not None:
@@ -131,10 +190,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in INLINE or tag in VOID:
             continue
         if tag in CLOSES:
-            _close(stack, *CLOSES[tag])
+            _close(stack, *CLOSES[tag], floor)
         if tag in BLOCK:
             anchors = 0
-            if stack and stack[-1].tag == "p":
+            if len(stack) > floor and stack[-1].tag == "p":
                 stack.pop()
         if len(stack) < DEPTH and not token["attrs"].endswith("/"):
             stack.append(_element(tag, token["attrs"]))
