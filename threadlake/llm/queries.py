@@ -11,6 +11,7 @@ from threadlake.llm import (
     html_text,
     licence_scan,
     packing,
+    periodic_text,
     preference,
     quality,
     segmentation,
@@ -39,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op8_rule_ensemble": quality.quality_query,
     "op9_simhash": _over("documents", simhash.near_dedup_query),
     "op10_html_crf": _over("pages", html_text.html_query),
+    "op13_lyndon_runs": _over("documents", periodic_text.periodic_query),
 }
 
 ORACLES: dict[str, str] = {
