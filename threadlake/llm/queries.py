@@ -10,6 +10,7 @@ from threadlake.llm import (
     digest_index,
     html_text,
     licence_scan,
+    merkle_manifest,
     packing,
     periodic_text,
     preference,
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op8_rule_ensemble": quality.quality_query,
     "op9_simhash": _over("documents", simhash.near_dedup_query),
     "op10_html_crf": _over("pages", html_text.html_query),
+    "op12_merkle_sweeps": _over("documents", merkle_manifest.manifest_query),
     "op13_lyndon_runs": _over("documents", periodic_text.periodic_query),
 }
 
@@ -48,4 +50,5 @@ ORACLES: dict[str, str] = {
     "op3_nra_topk": topk_search.ORACLE,
     "op6_digest_index": digest_index.ORACLE,
     "op7_licence_dice": licence_scan.oracle_sql(),
+    "op12_merkle_sweeps": merkle_manifest.ORACLE,
 }
