@@ -17,6 +17,7 @@ from threadlake.llm import (
     quality,
     segmentation,
     simhash,
+    text_fingerprints,
     token_counts,
     topk_search,
 )
@@ -41,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op8_rule_ensemble": quality.quality_query,
     "op9_simhash": _over("documents", simhash.near_dedup_query),
     "op10_html_crf": _over("pages", html_text.html_query),
+    "op11_piecewise_hash": _over("documents", text_fingerprints.fingerprint_query),
     "op12_merkle_sweeps": _over("documents", merkle_manifest.manifest_query),
     "op13_lyndon_runs": _over("documents", periodic_text.periodic_query),
 }
