@@ -5,7 +5,7 @@ import re
 
 import xxhash
 
-from threadlake.llm.simhash import MAX_BITS, fingerprint, near_dedup_query, near_pairs, stage
+from threadlake.llm.simhash import MAX_BITS, fingerprint, near_dedup_query, near_pairs
 
 
 def slow_fingerprint(text):
@@ -78,13 +78,3 @@ def test_near_copies(spark):
     got = sorted(map(tuple, near_dedup_query(spark, frame).collect()), key=str)
     assert got == slow_components(rows)
     assert len({g for _, _, g in got}) < len(rows)
-    kept = stage(spark, frame, "")
-    assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({g for _, _, g in got})
-
-
-def test_stage_keeps_one_row_of_a_group(spark, edge_documents):
-    out = stage(spark, edge_documents, "")
-    rows = out.collect()
-    assert out.columns == edge_documents.columns
-    assert len(rows) == len({fingerprint(r.text) for r in edge_documents.collect()})

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm.rows import keep_documents, text_digest
+from threadlake.llm.rows import text_digest
 from threadlake.operators.components import star_components
 from threadlake.session import materialize
 
@@ -189,17 +189,3 @@ def near_dedup_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the smallest doc_id stays.
-
-    Should several texts bear that id, the one with the smallest digest stays.
-    """
-    found = materialize(near_duplicates(docs), "near-groups")
-    kept = (
-        found.groupBy("component_id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
-        .select("first.doc_id", "first.digest")
-    )
-    return keep_documents(docs, kept)
