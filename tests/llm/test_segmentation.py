@@ -75,3 +75,27 @@ def test_edge_rows(spark, edge_documents):
 
 def test_space_sign(lattice):
     assert lattice.encode(f"a{SPACE}b", 1)[0][1:] == (lattice.encode("a b", 1)[0][1], True)
+
+
+def test_texts_without_a_space(lattice):
+    """Over a million characters in one word, and what is kept of it."""
+    for text in ("ab7Xq+/Zk9" * 120_000, "語彙" * 300_000):
+        first, *second = lattice.encode(text, 2)
+        assert first[2] and all(same and score <= first[0] for score, _, same in second)
+        assert lattice.decode(np.frombuffer(first[1], "<u4").tolist())[1:] == text.encode()
+
+
+def test_a_forgetful_lattice_gives_the_same(lattice, monkeypatch):
+    texts = ["The quick, brown fox.", None, "", "été à la plage", "the the the", "x\n\ny  z "] * 3
+    want = [lattice.encode(t, 4) for t in texts]
+    monkeypatch.setattr("threadlake.llm.piece_lattice.CACHE_BYTES", 300)
+    monkeypatch.setattr("threadlake.llm.piece_lattice.SLICE", 5)
+    other = PieceLattice(PATH)
+    got = [r for k in range(0, len(texts), 4) for r in other.encode_all(texts[k : k + 4], 4)]
+    assert got == want
+
+
+def test_decoding_nothing_and_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, None, "x")], "doc_id bigint, ids binary, row string")
+    assert [tuple(r) for r in decoded(frame, PATH).collect()] == [(1, None, "x", None)]
+    assert decoded(frame.limit(0), PATH).collect() == []

@@ -23,7 +23,7 @@ def segmentations(
     its pieces and scores make the lattice.  ``ids`` are little-endian 32-bit numbers,
     ``round_trip`` tells whether decoding them gives the text.  A null or empty text
     has one segmentation, into no pieces; a text with fewer than ``n`` has as many
-    rows.  Equal scores are ranked the same way in every run.  Repeated rows are
+    rows.  Texts are taken whole, however long.  Equal scores are ranked the same way in every run.  Repeated rows are
     segmented each, null ids stay null, an empty table gives no rows; other
     columns are not read.
     """
@@ -36,8 +36,8 @@ def segmentations(
                 part = batch.slice(at, 1024)
                 rows = [
                     (i, rank, score, len(ids) // 4, ids, same)
-                    for i, t in enumerate(part.column(1))
-                    for rank, (score, ids, same) in enumerate(lattice.encode(t.as_py(), n), 1)
+                    for i, best in enumerate(lattice.encode_all(part.column(1).to_pylist(), n))
+                    for rank, (score, ids, same) in enumerate(best, 1)
                 ]
                 place, rank, score, pieces, ids, same = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
