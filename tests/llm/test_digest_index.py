@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadlake.llm.digest_index import DigestIndex, dedup, exact_dedup_query, stage
@@ -39,6 +40,31 @@ def test_deliveries_and_reopening(spark):
     assert again.rows().count() == 4
 
 
+def test_the_index_keeps_its_buckets(spark):
+    """Another number of shuffle partitions opens the same index, and none is asked of it in vain."""
+    path = fresh_path(spark, "test-index")
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    kept = lambda: dedup(docs, DigestIndex(spark, path)).filter("kept").count()
+    try:
+        assert kept() == 2
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        assert kept() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, 7)
+
+
+def test_paths_that_look_alike(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    root = fresh_path(spark, "x" * 90)
+    for path in (f"{root}/a-b", f"{root}/a_b", f"{root}/A_b", f"{root}/it's"):
+        assert dedup(docs, DigestIndex(spark, path)).filter("kept").count() == 2
+    for path in (f"{root}/a-b", f"{root}/a_b/", f"{root}/it's"):
+        assert dedup(docs, DigestIndex(spark, path)).filter("kept").count() == 0
+
+
 def test_index_is_not_shuffled(spark):
     """The index side of the joins is read in its buckets."""
     index = DigestIndex(spark, fresh_path(spark, "test-index"), 4)

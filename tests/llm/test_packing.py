@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from threadlake.llm.packing import pack, pack_documents, step_groups
+from threadlake.llm.packing import GROUP_TOKENS, pack, pack_documents, step_groups
 from threadlake.llm.word_ids import WordIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -78,13 +78,26 @@ def test_pack_covers_every_id_once():
             assert at == length
 
 
-def test_groups_are_balanced():
-    sizes = [2048] * 20 + [1024] * 31 + [512] * 9 + [7]
+def test_groups_are_balanced_over_the_table(spark, documents):
+    """Also where tasks and batches are small."""
+    rows = pack_documents(documents.repartition(7), PATH).collect()
     loads: dict[int, int] = {}
-    for size, group in zip(sizes, step_groups(sizes, 8192)):
-        loads[group] = loads.get(group, 0) + size
-    assert len(loads) == -(-sum(sizes) // 8192) and max(loads.values()) - min(loads.values()) <= 1024
-    assert step_groups([]) == []
+    for r in rows:
+        loads[r.step_group] = loads.get(r.step_group, 0) + r.length
+    total = sum(r.length for r in rows)
+    groups = -(-total // GROUP_TOKENS)
+    assert groups > 3 and sorted(loads) == list(range(groups))
+    assert [loads[g] for g in range(groups - 1)] == [GROUP_TOKENS] * (groups - 1)
+    assert len({(r.sequence_id, r.step_group) for r in rows}) == len({r.sequence_id for r in rows})
+
+
+def test_step_groups_of_all_lengths(spark):
+    sizes = [2048] * 20 + [1024] * 31 + [512] * 9 + [4, 2, 1]
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "sequence_id bigint, `offset` bigint, sequence_length bigint")
+    loads: dict[int, int] = {}
+    for r in step_groups(pieces, 8192).collect():
+        loads[r.step_group] = loads.get(r.step_group, 0) + r.sequence_length
+    assert [loads[g] for g in sorted(loads)] == [8192] * (sum(sizes) // 8192) + [sum(sizes) % 8192]
 
 
 def test_word_ids_are_the_library_s():

@@ -66,5 +66,17 @@ def test_swapped_answers(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "assistant", "b"), (1, 1, "user", "w"), (2, 0, "assistant", "c"),
             (4, 0, "user", "n"), (5, 0, "assistant", "m"), (None, 0, "assistant", "x")]
     chosen, rejected = swapped_answers(spark.createDataFrame(rows, SCHEMA.replace("pair_id", "conv_id")))
-    assert sorted(map(tuple, chosen.collect())) == [r for r in rows if r[0] in (0, 1)]
-    assert sorted(map(tuple, rejected.collect())) == [(0, 0, "user", "q"), (0, 1, "assistant", "b"), (1, 0, "assistant", "a"), (1, 1, "user", "w")]
+    assert sorted(map(tuple, chosen.collect())) == [r for r in rows if r[0] is not None]
+    # The answers stand in a ring of those that have one: 0, 1, 2, 5.
+    assert sorted(map(tuple, rejected.collect())) == [
+        (0, 0, "user", "q"), (0, 1, "assistant", "b"), (1, 0, "assistant", "c"), (1, 1, "user", "w"),
+        (2, 0, "assistant", "m"), (4, 0, "user", "n"), (5, 0, "assistant", "a"),
+    ]
+
+
+def test_no_conversation_is_lost(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = preference_segments(*swapped_answers(table)).select("pair_id").distinct().collect()
+    assert {r.pair_id for r in rows} == {r.conv_id for r in table.select("conv_id").distinct().collect() if r.conv_id is not None}
+    one = spark.createDataFrame([(3, 0, "assistant", "only")], SCHEMA.replace("pair_id", "conv_id"))
+    assert [(r.part, r.place) for r in preference_segments(*swapped_answers(one)).collect()] == [("prompt", 0)]

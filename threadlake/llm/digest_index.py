@@ -13,6 +13,8 @@ adaptive execution can split the partition of a hot digest.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +22,40 @@ from threadlake.llm.rows import fresh_path, keep_documents, text_digest
 from threadlake.session import materialize
 
 
+#: What the folder of an index is called, before the number of buckets.
+PREFIX = "buckets="
+
+
 class DigestIndex:
     """A digest table at a path; opening the same path again goes on with it.
 
-    ``buckets`` is part of the folder's name, so an index is never read with
-    another number than it was written with.  One writer at a time: an append
-    is a committed Parquet job, but two running at once would both find their
-    digests new.
+    The number of ``buckets`` is kept with the index, as part of its folder's name: a new index has as many
+    as the session has shuffle partitions, an old one those that it began with, whatever
+    the session says, and asking for another number is an error.  The table's name comes
+    from a hash of the whole path, so two paths never share one.  One writer at a
+    time: an append is a committed Parquet job, but two running at once would both find
+    their digests new.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.path = f"{path.rstrip('/')}/buckets={self.buckets}"
-        name = "".join(c if c.isalnum() else "_" for c in self.path.lower())
-        self.table = f"digest_index_{name[-100:]}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        folder = system.makeQualified(folder)
+        names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+        begun = [int(name.removeprefix(PREFIX)) for name in names if name.startswith(PREFIX)]
+        if len(begun) > 1 or (begun and buckets not in (None, *begun)):
+            raise ValueError(f"the index at {path} has {begun} buckets")
+        self.buckets = begun[0] if begun else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = f"{folder.toString()}/{PREFIX}{self.buckets}"
+        system.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path))
+        self.table = f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:32]}"
+        quoted = self.path.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} "
             "(digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
-            f"LOCATION '{self.path}'"
+            f"LOCATION '{quoted}'"
         )
 
     def rows(self) -> DataFrame:
@@ -85,7 +101,7 @@ def dedup(
     row.  Texts are equal when their bytes are; null counts as empty.  Of equal
     texts of a delivery the largest ``doc_id`` stays (null ids sort lowest); a
     text that the index held before stays with the document recorded then, and
-    no row of the delivery is kept.  ``group_size`` is the number of rows the
+    no row of the delivery is kept.  Texts are hashed whole, however long.  ``group_size`` is the number of rows the
     text had in the delivery that added it.  Rows that repeat both id and text
     are decided alike.  An empty table gives no rows; other columns are not read.
     """

@@ -7,34 +7,36 @@ shortest: a rest opens a sequence, the gap behind it is filled with the longest
 rests of shorter tiers that fit, and where none fits a rest is cut to
 fill the gap exactly.  So every sequence is full; the last open one of a
 block of documents is split along the powers of two in its length, which need no padding.
-Finally the sequences of a block are dealt to step groups of nearly equal
-token counts, longest first to the lightest group.
+Finally the sequences of the whole table are dealt to step groups of equal token counts,
+longest first.
 
-A block is an Arrow batch, which Spark bounds by rows and bytes.  Blocks are
-packed independently in the tasks that read them: no shuffle, nothing gathered,
-and a lost task is computed again with the same sequence numbers.
+A block is an Arrow batch, which Spark bounds by rows and bytes.  Blocks are packed
+independently in the tasks that read them and written: no text and no id is shuffled, and a
+lost task is computed again with the same sequence numbers.  The groups come from a second
+step over the lengths of the sequences.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm.word_ids import word_ids
+from threadlake.operators.ranking import bucketed_index
+from threadlake.session import materialize
 
 WINDOW = 2048
 
 #: Context sizes, longest first; each a power of two.
 TIERS = (2048, 1024, 512, 256)
 
-#: Tokens of a training step.
+#: Tokens of a training step, a power of two.
 GROUP_TOKENS = 16 * 2048
 
 END_ID = 1
@@ -44,7 +46,7 @@ PARTITION_SHIFT = 33
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-    "sequence_id bigint, `offset` bigint, sequence_length bigint, step_group bigint"
+    "sequence_id bigint, `offset` bigint, sequence_length bigint"
 )
 
 Piece = tuple[int, int, int]
@@ -133,16 +135,25 @@ def _powers_of_two(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def step_groups(sizes: list[int], group_tokens: int = GROUP_TOKENS) -> list[int]:
-    """A group for each sequence so that the groups' token counts are balanced."""
-    groups = max(1, -(-sum(sizes) // group_tokens))
-    loads = [(0, g) for g in range(groups)]
-    out = [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        load, group = loads[0]
-        heapq.heapreplace(loads, (load + sizes[i], group))
-        out[i] = group
-    return out
+def step_groups(pieces: DataFrame, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Add ``step_group`` to ``pieces``, which are read twice.
+
+    Sequences are dealt out longest first.  Their lengths are powers of two, and so is
+    ``group_tokens``, thus all groups have exactly so many tokens, but the last one, which
+    has what is left.  Only a row per sequence is put in order, by length and number.
+    """
+    sequences = pieces.filter("`offset` = 0").select("sequence_id", "sequence_length")
+    part = F.shiftright("sequence_id", PARTITION_SHIFT)
+    placed = bucketed_index(sequences, ["sequence_length"], part, ["sequence_id"], "at")
+    # At most a row for each power of two.
+    longer = Window.orderBy(F.desc("sequence_length")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sequences.groupBy("sequence_length").agg(F.sum("sequence_length").alias("tokens"))
+    begins = sums.select("sequence_length", F.coalesce(F.sum("tokens").over(longer), F.lit(0)).alias("begin"))
+    token = F.col("begin") + F.col("at") * F.col("sequence_length")
+    groups = placed.join(begins, "sequence_length").select(
+        "sequence_id", F.floor(token / group_tokens).cast("bigint").alias("step_group")
+    )
+    return pieces.join(groups, "sequence_id").select(*pieces.columns, "step_group")
 
 
 def pack_documents(
@@ -152,24 +163,23 @@ def pack_documents(
     text: str = "text",
     with_ids: bool = False,
 ) -> DataFrame:
-    """Tokenize and pack; one row per piece of a document, as in ``SCHEMA``.
+    """Tokenize and pack; one row per piece of a document, as in ``SCHEMA``, with its ``step_group``.
 
     A document is the ids of its whole text by the ``tokenizers`` file at path ``tokenizer``,
     without special ones added, and then ``END_ID``; a null or empty text is that
     id alone.  ``start`` counts the document's ids before the piece, ``offset`` those before
     it in its sequence.  ``with_ids`` adds them as little-endian 32-bit numbers.
     Every row is a document of its own, also where id or text repeat or the id is null;
-    an empty table gives no rows.  Other columns are not read.
+    an empty table gives no rows; texts are taken whole, however long.  Other columns are not read.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
-    def block(batch: pa.RecordBatch, first: int, first_group: int) -> tuple[pa.RecordBatch, int, int]:
+    def block(batch: pa.RecordBatch, first: int) -> tuple[pa.RecordBatch, int]:
         encoder = word_ids(tokenizer)
         ids = [encoder.encode(t.as_py()) + end for t in batch.column(1)]
         counts = [len(i) // 4 for i in ids]
         sequences = pack(counts)
         sizes = [sum(p[2] for p in s) for s in sequences]
-        groups = step_groups(sizes)
         rows: list[tuple[int, ...]] = []
         pieces: list[bytes] = []
         for number, sequence in enumerate(sequences):
@@ -177,32 +187,33 @@ def pack_documents(
             for doc, start, length in sequence:
                 part = ids[doc][4 * start : 4 * (start + length)]
                 rows.append(
-                    (doc, start, length, zlib.crc32(part), counts[doc], first + number, offset, sizes[number], first_group + groups[number])
+                    (doc, start, length, zlib.crc32(part), counts[doc], first + number, offset, sizes[number])
                 )
                 offset += length
                 if with_ids:
                     pieces.append(part)
-        table = np.array(rows, np.int64).reshape(-1, 9)
-        columns = [batch.column(0).take(pa.array(table[:, 0]))] + [pa.array(table[:, c]) for c in range(1, 9)]
+        table = np.array(rows, np.int64).reshape(-1, 8)
+        columns = [batch.column(0).take(pa.array(table[:, 0]))] + [pa.array(table[:, c]) for c in range(1, 8)]
         if with_ids:
             columns.append(pa.array(pieces, pa.binary()))
         out = pa.RecordBatch.from_arrays(columns, names)
-        return out, first + len(sequences), first_group + 1 + max(groups, default=-1)
+        return out, first + len(sequences)
 
     names = [
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group",
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length",
     ] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = group = TaskContext.get().partitionId() << PARTITION_SHIFT
+        sequence = TaskContext.get().partitionId() << PARTITION_SHIFT
         for batch in batches:
             if batch.num_rows:
-                out, sequence, group = block(batch, sequence, group)
+                out, sequence = block(batch, sequence)
                 yield out
 
-    return docs.select(
+    pieces = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")
     ).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+    return step_groups(materialize(pieces, "packed-pieces"))
 
 
 def packing_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

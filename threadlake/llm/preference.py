@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm.rows import table
-from threadlake.operators.ranking import bucketed_index, running_total
+from threadlake.operators.ranking import bucketed_index, global_index, running_total
 from threadlake.session import materialize
 
 # Fixed values of the chat template.
@@ -113,9 +113,10 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected conversations for a table that has no preferences.
 
-    The chosen side is a conversation as it is; the rejected one has the last
-    assistant turn of the neighbour (2k and 2k + 1) in the place of its own.
-    Conversations without a neighbour or an assistant turn make no pair.
+    The chosen side is a conversation as it is; the rejected one has the last assistant
+    turn of the next conversation that has one, by ``conv_id``, in the place of its own; after
+    the last comes the first.  A conversation without an assistant turn, or the only one with
+    such a turn, is equal on both sides, thus all prompt.
     """
     turns = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
         F.col("conv_id").cast("bigint").alias("pair_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text"
@@ -127,11 +128,11 @@ def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last")),
         "last-answers",
     )
-    other = last.select(
-        F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("other")
-    )
-    pairs = last.select("pair_id", F.col("last.turn").alias("last_turn")).join(other, "pair_id")
-    joined = turns.join(pairs, "pair_id")
+    ring = global_index(last, ["pair_id"], "at")
+    before = F.when(F.col("at") == 0, F.lit(last.count())).otherwise(F.col("at")) - 1
+    other = ring.select(before.alias("at"), F.col("last.text").alias("other"))
+    pairs = ring.select("pair_id", "at", F.col("last.turn").alias("last_turn")).join(other, "at").drop("at")
+    joined = turns.join(pairs, "pair_id", "left")
     chosen = joined.select("pair_id", "turn", "role", "text")
     swap = (F.col("turn") == F.col("last_turn")) & (F.col("role") == TRAINED_ROLE)
     rejected = joined.select(
@@ -150,12 +151,13 @@ WITH t AS (
 ), l AS (
   SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id
 ), p AS (
-  SELECT a.conv_id, a.last_turn, b.answer AS other FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)
+  SELECT conv_id, last_turn,
+         coalesce(lead(answer) OVER (ORDER BY conv_id), first_value(answer) OVER (ORDER BY conv_id)) AS other FROM l
 ), c AS (
   SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, coalesce(role, '') AS role,
          coalesce(text, '') AS chosen,
          coalesce(CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END, '') AS rejected
-  FROM t JOIN p USING (conv_id)
+  FROM t LEFT JOIN p USING (conv_id)
 ), s AS (
   SELECT *, min(CASE WHEN chosen <> rejected THEN place END) OVER (PARTITION BY pair_id) AS split FROM c
 ), e AS (

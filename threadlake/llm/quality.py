@@ -113,6 +113,8 @@ def learn(
     # At most sample_rows ids, so every task can hold them.
     chosen = F.broadcast(spark.createDataFrame(sample, "key bigint, y int"))
     few = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    # One row for each id, however often it repeats; of several texts the smallest counts.
+    few = few.groupBy("key", "y").agg(F.min("text").alias("text"))
     rows = statistics(few).select("row.key", "row.y", "statistics.*").toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(float))
