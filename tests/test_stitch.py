@@ -164,13 +164,39 @@ def test_similar_titles_against_all_pairs(spark):
                 at = rng.randrange(len(text))
                 text[at : at + rng.randint(0, 1)] = rng.choice(("", "z", "yx"))
             titles.add("".join(text))
-    frame = spark.createDataFrame([(t,) for t in titles if t], "norm_title string")
-    got = {(r.title_a, r.title_b) for r in stitch.similar_titles(frame).collect()}
+    titles = sorted(titles)
+    facts = spark.createDataFrame(list(enumerate(titles)), "unit_idx bigint, norm_title string")
+    keys = spark.range(len(titles)).selectExpr("id AS unit_idx", "'everyone' AS key")
+    got = {(r.title_a, r.title_b): r.ratio for r in stitch.close_title_pairs(keys, facts).collect()}
     ratio = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-    want = {(a, b) for a in titles for b in titles if a and b and a != b and ratio(a, b) > 0.92}
+    want = {(a, b): ratio(a, b) for a in titles for b in titles if a and a < b and ratio(a, b) > 0.92}
     assert got == want and want
 
 
+def test_a_template_of_titles_makes_no_pairs(spark):
+    """20,000 titles that differ in a number, each with a neighbour's message and one of all."""
+    n = 20_000
+    facts = spark.range(n).selectExpr("id AS unit_idx", "concat('weekend planning group ', id) AS norm_title")
+    keys = spark.range(n).selectExpr("id AS unit_idx", "explode(array(id div 2, -1 - id)) AS key")
+    assert stitch.close_title_pairs(keys, facts).count() == n // 2
+    units = facts.selectExpr("unit_idx", "unit_idx AS source_idx", "'x.zip' AS label", "norm_title AS title")
+    # Ten messages of its own, and the notice is too little in common.
+    messages = spark.range(n).selectExpr(
+        "id AS unit_idx", "explode(sequence(0, 10)) AS msg_no", "TIMESTAMP_NTZ'2026-03-10 08:00:00' AS ts"
+    )
+    rows = messages.selectExpr(
+        "unit_idx", "CAST(msg_no AS BIGINT) AS msg_no", "ts",
+        "CASE WHEN msg_no > 0 THEN concat('P', unit_idx, ' ', msg_no % 3) END AS sender",
+        "CASE WHEN msg_no > 0 THEN concat('text ', unit_idx, ' ', msg_no) ELSE 'a notice for everyone' END AS text",
+        "CASE WHEN msg_no > 0 THEN 'text' ELSE 'system' END AS kind",
+    )
+    empty = raw(spark, []).select("attachment", "edited", "has_seconds")
+    rows = rows.selectExpr("*", f"CAST(NULL AS {empty.schema['attachment'].dataType.simpleString()}) AS attachment",
+                           "false AS edited", "false AS has_seconds")
+    chats = stitch.stitch(units, rows.select(*raw(spark, []).columns)).unit_chat
+    assert chats.select("chat_id").distinct().count() == n
+
+
 def test_a_notice_of_all_makes_no_pairs(spark):
     """Exports of other people and titles that share one message are never put together."""
     rows = []

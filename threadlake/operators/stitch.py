@@ -12,8 +12,9 @@ messages themselves, never by comparing all exports:
   titles, and only those in one line are tried: neighbours first, then doubling
   distances, and a line drops out as soon as all its exports are one chat.  Copies and
   overlapping re-exports therefore join after a round of linear size;
-* titles that are nearly the same are found once, among the distinct titles, and
-  only exports with such titles are then tried for common messages.
+* exports with different titles that are nearly the same stand in lines of a message and a rare
+  piece of the title, both shared, so neither a template of titles nor a message
+  of very many exports puts exports together.
 
 A message that many exports of other people and titles hold, such as a service
 notice, brings no pair about.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import patterns as p
@@ -34,6 +35,9 @@ from threadlake.operators.dedup import with_keys
 from threadlake.operators.ranking import bucketed_index, dense_index
 from threadlake.session import materialize
 
+#: Characters of a piece of a title.
+GRAM = 3
+
 
 @dataclass
 class Stitched:
@@ -150,62 +154,73 @@ def close_titles(pairs: DataFrame, left: str = "title_a", right: str = "title_b"
     )
 
 
-def similar_titles(titles: DataFrame) -> DataFrame:
-    """Ordered pairs ``title_a, title_b`` of different titles that are nearly the same.
+def _differences(length: Column, other: Column) -> Column:
+    """Nearly equal titles of these lengths differ by fewer characters, counted in both."""
+    return (length + other) * (1 - p.CLOSE_TITLE_RATIO) + 1e-9
+
+
+def title_grams(titles: DataFrame) -> DataFrame:
+    """``norm_title, gram``: the rarer pieces of each title, of which nearly equal ones share one.
 
-    ``titles`` has a column ``norm_title``.  A ratio above r leaves fewer than
-    2 (1 - r) / r of the characters of ``title_a`` as differences, counted in both titles.
-    Cut into as many pieces, one piece of ``title_a`` is whole in ``title_b``, shifted by
-    less than their number.  So titles meet by length, piece and place, and only
-    those that meet are compared.
+    A character that is in only one of two titles spoils at most ``GRAM`` pieces of so many
+    characters.  So titles with at most d differences have all but ``GRAM * d`` pieces of
+    either in common, and then also one of the first ``GRAM * d + 1``, in any order that is the same
+    for all titles: here rare pieces come first.  The n-th equal piece of a title
+    is a piece of its own.  Titles too short to be nearly equal to another one have no row.
     """
     r = p.CLOSE_TITLE_RATIO
-    known = titles.select("norm_title").distinct().filter(F.length("norm_title") > 0)
     n = F.length("norm_title")
+    # The other title is at most (2 - r) / r as long.
+    most = F.ceil(n * (2 * (1 - r) / r) + 1e-9) - 1
+    known = titles.select("norm_title").distinct().filter((most > 0) & (n >= GRAM))
+    at = F.sequence(F.lit(1), n - GRAM + 1)
+    pieces = F.transform(at, lambda i: F.substring(F.col("norm_title"), i, F.lit(GRAM)))
+    nth = lambda x, i: F.size(F.filter(F.slice("pieces", F.lit(1), i + 1), lambda y: y == x))
+    named = F.transform("pieces", lambda x, i: F.concat(nth(x, i).cast("string"), F.lit(" "), x))
+    spread = (
+        known.select("norm_title", most.alias("most"), pieces.alias("pieces"))
+        .select("norm_title", "most", F.explode(named).alias("gram"))
+    )
+    times = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    rarity = F.row_number().over(Window.partitionBy("norm_title").orderBy("times", "gram"))
+    return (
+        spread.join(times, "gram")
+        .withColumn("rarity", rarity)
+        .filter(F.col("rarity") <= GRAM * F.col("most") + 1)
+        .select("norm_title", "gram")
+    )
 
-    def pieces(length: Column) -> Column:
-        return F.greatest(F.ceil(length * (2 * (1 - r) / r) - 1e-9), F.lit(1)).cast("int")
 
-    def begin(nth: Column, length: Column) -> Column:
-        return F.floor(nth * length / pieces(length)).cast("int")
+def with_near_titles(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of the export pairs ``a, b`` (a before b) those with different, nearly equal titles.
 
-    numbers = lambda low, high: F.explode(F.sequence(low, high))
-    whole = (
-        known.select(F.col("norm_title").alias("title_a"), n.alias("length"))
-        .select("*", numbers(F.lit(0), pieces(F.col("length")) - 1).alias("nth"))
-        .select("title_a", "length", "nth", *_piece_bounds(begin))
-        .select("title_a", "length", "nth", F.substring("title_a", F.col("at") + 1, F.col("size")).alias("piece"))
-    )
-    shortest = F.ceil(F.col("own") * (r / (2 - r)) - 1e-9).cast("int")
-    longest = F.floor(F.col("own") * ((2 - r) / r) + 1e-9).cast("int")
-    seen = (
-        known.select(F.col("norm_title").alias("title_b"), n.alias("own"))
-        .select("*", numbers(F.greatest(shortest, F.lit(1)), longest).alias("length"))
-        .select("*", numbers(F.lit(0), pieces(F.col("length")) - 1).alias("nth"))
-        .select("title_b", "own", "length", "nth", *_piece_bounds(begin))
-    )
-    low = F.greatest(F.col("at") - pieces(F.col("length")), F.lit(0))
-    high = F.least(F.col("at") + pieces(F.col("length")), F.col("own") - F.col("size"))
-    seen = (
-        seen.filter(low <= high)
-        .select("*", numbers(low, high).alias("place"))
-        .select(
-            "title_b", "length", "nth", F.substring("title_b", F.col("place") + 1, F.col("size")).alias("piece")
-        )
-        .distinct()
-    )
-    met = (
-        whole.join(seen, ["length", "nth", "piece"])
-        .filter("title_a <> title_b")
-        .select("title_a", "title_b")
-        .distinct()
+    Adds ``title_a, title_b, ratio``.  Lengths and edit distance, bounds that lose nothing, come
+    first; the ratio is computed once for two titles.
+    """
+    title = lambda side: facts.select(F.col("unit_idx").alias(side), F.col("norm_title").alias(f"title_{side}"))
+    named = pairs.join(title("a"), "a").join(title("b"), "b")
+    na, nb = F.length("title_a"), F.length("title_b")
+    most = _differences(na, nb)
+    could = named.filter((F.col("title_a") != F.col("title_b")) & (F.abs(na - nb) < most)).filter(
+        F.levenshtein("title_a", "title_b") < most
     )
-    return close_titles(met).drop("ratio")
+    could = materialize(could, "maybe-near-titles")
+    near = close_titles(could.select("title_a", "title_b").distinct())
+    return could.join(near, ["title_a", "title_b"])
+
 
+def close_title_pairs(keys: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``a, b, title_a, title_b, ratio`` of exports that share a message and have nearly equal titles.
 
-def _piece_bounds(begin) -> tuple[Column, Column]:
-    nth, length = F.col("nth"), F.col("length")
-    return begin(nth, length).alias("at"), (begin(nth + 1, length) - begin(nth, length)).alias("size")
+    One equi-join on a message and a rare piece of the title: neither titles of
+    one template nor a message that very many exports hold make pairs by themselves.
+    """
+    facts = profiles.select("unit_idx", "norm_title")
+    grams = materialize(title_grams(facts), "title-grams")
+    lines = materialize(keys.join(facts, "unit_idx").join(grams, "norm_title").select("key", "gram", "unit_idx"), "title-lines")
+    right = lines.withColumnRenamed("unit_idx", "b")
+    met = lines.withColumnRenamed("unit_idx", "a").join(right, ["key", "gram"]).filter("a < b")
+    return with_near_titles(met.select("a", "b").distinct(), facts)
 
 
 def _rarest_first(keys: DataFrame) -> DataFrame:
@@ -256,6 +271,26 @@ def _alike(holders: DataFrame, facts: DataFrame) -> DataFrame:
     return materialize(dense_index(lines, ["key", "alike"], "unit_idx", "pos"), "alike")
 
 
+def _nearly_alike(holders: DataFrame, facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lines of the exports that hold a message and have a rare piece of the title in common.
+
+    Only messages count that exports of several chats hold and that may propose one of them.
+    """
+    known = holders.join(roots, "unit_idx")
+    apart = known.groupBy("key").agg(
+        F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("proposes").alias("any")
+    )
+    open_keys = apart.filter(F.col("any") & (F.col("r1") != F.col("r2"))).select("key")
+    grams = materialize(title_grams(facts), "title-grams")
+    lines = (
+        holders.join(open_keys, "key")
+        .join(facts.select("unit_idx", "norm_title"), "unit_idx")
+        .join(grams, "norm_title")
+        .select("key", "unit_idx", "size", "proposes", F.col("gram").alias("alike"))
+    )
+    return materialize(dense_index(lines, ["key", "alike"], "unit_idx", "pos"), "nearly-alike")
+
+
 def _pair_columns(right: DataFrame) -> DataFrame:
     return right.select(
         *[F.col(c) for c in right.columns if c not in ("unit_idx", "size", "proposes", "root", "pos")],
@@ -293,14 +328,12 @@ def _proposed(pairs: DataFrame, same_people: Column) -> DataFrame:
     )
 
 
-def _in_line(current: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs at distances ``low..high-1`` in the lines of ``_alike``; ``n`` is a line's length."""
+def _in_line(current: DataFrame, low: int, high: int, same_people: Column) -> DataFrame:
+    """Pairs at distances ``low..high-1`` in the lines; ``n`` is a line's length."""
     right = _pair_columns(current.withColumn("at", F.col("pos")).drop("n"))
     steps = F.explode(F.sequence(F.col("pos") + low, F.least(F.col("pos") + high, "n") - 1))
     left = current.filter(F.col("pos") + low < F.col("n")).select("*", steps.alias("at"))
-    return _proposed(
-        left.join(right, ["key", "alike", "at"]), F.col("alike").startswith("people ")
-    )
+    return _proposed(left.join(right, ["key", "alike", "at"]), same_people)
 
 
 def _enough_in_common(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -322,46 +355,49 @@ def _joined_roots(roots: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def _overlap_edges(keys: DataFrame, profiles: DataFrame, roots: DataFrame) -> tuple:
-    """Edges by common messages; returns the final roots and the edge tables."""
-    holders = _rarest_first(keys)
-    known = holders.select("unit_idx", "key")
-    facts = profiles.select("unit_idx", "people_key", "norm_title")
-    lines = _alike(holders, facts)
+def _walk(lines: DataFrame, roots: DataFrame, known: DataFrame, same_people: Column, also=None) -> tuple:
+    """Try the exports of each line, neighbours first and then doubling distances.
+
+    A line drops out once its exports are one chat or none of them may propose.  ``also``
+    filters proposed pairs.  Returns the new roots and the edges found.
+    """
     edges, low = [], 1
     while True:
         current = lines.join(roots, "unit_idx")
         open_lines = (
             current.groupBy("key", "alike")
-            .agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("pos").alias("n"))
-            .filter((F.col("r1") != F.col("r2")) & (F.col("n") >= low))
+            .agg(
+                F.min("root").alias("r1"), F.max("root").alias("r2"),
+                F.max("pos").alias("n"), F.max("proposes").alias("any"),
+            )
+            .filter(F.col("any") & (F.col("r1") != F.col("r2")) & (F.col("n") >= low))
             .select("key", "alike", (F.col("n") + 1).alias("n"))
-        )
+        )
         open_lines = materialize(open_lines, "open-lines")
         if open_lines.isEmpty():
-            break
-        found = materialize(
-            _in_line(current.join(open_lines, ["key", "alike"]), low, low * 2), "proposals"
-        )
+            return roots, edges
+        met = _in_line(current.join(open_lines, ["key", "alike"]), low, low * 2, same_people)
+        found = materialize(met if also is None else also(materialize(met, "met")), "proposals")
         new = _enough_in_common(found, known)
         if not new.isEmpty():
             edges.append(new)
             roots = _joined_roots(roots, new)
         low *= 2
 
+
+def _overlap_edges(keys: DataFrame, profiles: DataFrame, roots: DataFrame) -> tuple:
+    """Edges by common messages; returns the final roots and the edge tables."""
+    holders = _rarest_first(keys)
+    known = holders.select("unit_idx", "key")
+    facts = profiles.select("unit_idx", "people_key", "norm_title")
+    roots, edges = _walk(_alike(holders, facts), roots, known, F.col("alike").startswith("people "))
+
     # What is left are different titles that are nearly the same.
-    near = materialize(similar_titles(profiles), "similar-titles")
-    if not near.isEmpty():
-        titled = holders.join(roots, "unit_idx").join(facts.select("unit_idx", "norm_title"), "unit_idx")
-        right = _pair_columns(titled).withColumnRenamed("norm_title", "title_b")
-        left = titled.withColumnRenamed("norm_title", "title_a").join(near, "title_a")
-        # The earlier export is on the left, as the ratio has it.
-        pairs = left.join(right, ["key", "title_b"]).filter(F.col("unit_idx") < F.col("v"))
-        new = _enough_in_common(materialize(_proposed(pairs, F.lit(False)), "proposals"), known)
-        if not new.isEmpty():
-            edges.append(new)
-            roots = _joined_roots(roots, new)
-    return roots, edges
+    def near(met: DataFrame) -> DataFrame:
+        return with_near_titles(met, facts).select(*met.columns)
+
+    roots, more = _walk(_nearly_alike(holders, facts, roots), roots, known, F.lit(False), near)
+    return roots, edges + more
 
 
 def stitch(units: DataFrame, raw: DataFrame, mode: str = "full") -> Stitched:

@@ -291,15 +291,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         # The fixture's near titles differ in one replaced character, where the ratio is (n - 1) / n.
         "close_titles": _with(
-            PROFILES,
-            """SELECT conv_id, title_a, title_b, CAST(2 * (n - off) AS DOUBLE) / (2 * n) AS ratio FROM (
-               SELECT conv_id, title_a, title_b, length(title_a) AS n, levenshtein(title_a, title_b) AS off
-               FROM (SELECT v.conv_id, arg_min(p.norm_title, p.unit_idx) AS title_a,
-                            arg_max(p.norm_title, p.unit_idx) AS title_b
-                     FROM profile p JOIN (SELECT DISTINCT unit_idx, conv_id FROM v) v ON v.unit_idx = p.unit_idx
-                     GROUP BY v.conv_id)
-               WHERE length(title_a) = length(title_b))
-               WHERE off <= 1 AND 1 - off * 1.0 / n > 0.92""",
+            EDGES,
+            """SELECT a, b, title_a, title_b, CAST(2 * (n - off) AS DOUBLE) / (2 * n) AS ratio FROM (
+               SELECT s.a, s.b, x.norm_title AS title_a, y.norm_title AS title_b,
+                      length(x.norm_title) AS n, levenshtein(x.norm_title, y.norm_title) AS off
+               FROM shared s JOIN profile x ON x.unit_idx = s.a JOIN profile y ON y.unit_idx = s.b
+               WHERE length(x.norm_title) = length(y.norm_title))
+               WHERE off = 1 AND 1 - off * 1.0 / n > 0.92""",
+            recursive=True,
         ),
         "stitch_components": _with(EDGES, "SELECT unit_idx, chat_id FROM component", recursive=True),
         "stitch_exact_titles": _with(

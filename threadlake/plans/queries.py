@@ -175,17 +175,9 @@ def unit_overlap(spark, folder):
 
 @query
 def close_titles(spark, folder):
-    """Similarity of the titles of an export and its conversation's other export."""
-    v = fx.simulated(spark, folder)
-    names = fx.units(v).groupBy("conv_id").agg(
-        F.min_by("title", "unit_idx").alias("title_a"), F.max_by("title", "unit_idx").alias("title_b")
-    )
-    pairs = names.select(
-        "conv_id",
-        X.normalize_title(F.col("title_a")).alias("title_a"),
-        X.normalize_title(F.col("title_b")).alias("title_b"),
-    )
-    return stitch.close_titles(pairs)
+    """Exports that share a message and have nearly equal titles."""
+    v, profiles = _profiles(spark, folder)
+    return stitch.close_title_pairs(stitch.message_keys(fx.raw_messages(v)), profiles)
 
 
 @query
