@@ -105,6 +105,11 @@ def chat_header(people: DataFrame, chats: DataFrame, owner: str | None) -> DataF
 # --- search ----------------------------------------------------------------------------
 
 
+def searched_text() -> Column:
+    """What a search looks at: a message's text, or else the name of its file."""
+    return F.coalesce(F.nullif("text", F.lit("")), F.col("attachment.filename"), F.lit(""))
+
+
 def search(
     messages: DataFrame,
     chats: DataFrame,
@@ -114,12 +119,11 @@ def search(
 ) -> DataFrame:
     """Hits without regard to case and accents; all of them unless a ``limit`` is given.
 
-    With a limit the first ones in chat order then message order.
+    Reads and folds every text; ``search_index`` answers the same from a written index.  With a limit the first ones in chat order then message order.
     """
     needle = fuzzy.fold_text(query).strip()
-    hay = F.coalesce(F.nullif("text", F.lit("")), F.col("attachment.filename"), F.lit(""))
     scope = filter_chats(chats, messages, which).select("chat_id", "chat_rank", "title")
-    texts = messages.select("chat_id", "msg_idx", "ts", "sender", hay.alias("hay"))
+    texts = messages.select("chat_id", "msg_idx", "ts", "sender", searched_text().alias("hay"))
     if len(needle) < 2:
         hits = texts.filter(F.lit(False))
     else:

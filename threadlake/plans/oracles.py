@@ -547,6 +547,20 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                      JOIN chat c ON c.chat_id = x.conv_id)
                WHERE pos > 0""",
         ),
+        "search_indexed": _with(
+            CHATS,
+            f"""SELECT chat_rank, chat_id, title, msg_idx, ts, sender,
+                 concat(CASE WHEN pos > 34 + 1 THEN '…' ELSE '' END,
+                   substr(hay, greatest(pos - 34, 1), pos - greatest(pos - 34, 1)),
+                   '«', substr(hay, pos, {len(SEARCH_TERM)}), '»',
+                   substr(hay, pos + {len(SEARCH_TERM)}, 90)) AS snippet
+               FROM (SELECT c.chat_rank, c.chat_id, c.title, x.*,
+                       strpos(lower(strip_accents(hay)), '{SEARCH_TERM}') AS pos
+                     FROM (SELECT conv_id, msg_idx, ts, sender,
+                             CASE WHEN text <> '' THEN text ELSE coalesce(filename, '') END AS hay FROM m) x
+                     JOIN chat c ON c.chat_id = x.conv_id)
+               WHERE pos > 0""",
+        ),
         "search_accents": _with(
             CHATS,
             f"""SELECT c.chat_rank, c.chat_id, m.msg_idx FROM m JOIN chat c ON c.chat_id = m.conv_id

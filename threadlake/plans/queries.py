@@ -7,6 +7,7 @@ are the conversations themselves unless a query is about stitching.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,10 @@ from threadlake.operators import dedup, media, owner, stitch
 from threadlake.operators import transcripts as P
 from threadlake.operators import views as V
 from threadlake.operators.ranking import bucketed_index, dense_index, with_previous
+from threadlake.operators.search_index import SearchIndex
 from threadlake.plans import fixtures as fx
 from threadlake.plans.archive import merge_exports
-from threadlake.session import materialize
+from threadlake.session import materialize, run_folder
 from threadlake.sinks import documents as K
 from threadlake.sources import exports as S
 
@@ -570,10 +572,21 @@ def search_messages(spark, folder):
 def search_accents(spark, folder):
     """Case and accents do not matter on either side; groups only."""
     messages, unit_chat = _messages(spark, folder)
-    found = V.search(messages, _chats(messages, unit_chat), "LÉ", "group")
+    found = _search_index(spark, messages).search(_chats(messages, unit_chat), "LÉ", "group")
     return found.select("chat_rank", "chat_id", "msg_idx")
 
 
+def _search_index(spark, messages):
+    return SearchIndex.write(messages, f"{run_folder(spark)}/search-index-{uuid.uuid4().hex}", buckets=8)
+
+
+@query
+def search_indexed(spark, folder):
+    """Postings of the grams in common, then the check on the folded texts."""
+    messages, unit_chat = _messages(spark, folder)
+    return _search_index(spark, messages).search(_chats(messages, unit_chat), SEARCH_TERM)
+
+
 @query
 def last_preview(spark, folder):
     messages, unit_chat = _messages(spark, folder)
