@@ -81,9 +81,9 @@ def build_archive(
     """Read exports, merge them, resolve media and collect all warnings."""
     exports = read_exports(spark, paths)
     texts = materialize(exports.transcripts, "transcripts")
-    parsed = transcripts.parse_messages(texts, date_order)
+    parsed = transcripts.parse_splits(texts.withColumn("split_no", F.lit(0).cast("bigint")), date_order)
     raw = materialize(
-        media.resolve_attachments(parsed, exports.units, exports.files), "raw-messages"
+        media.resolve_attachments(parsed.messages, exports.units, exports.files), "raw-messages"
     )
     units = materialize(transcripts.refine_titles(exports.units, raw), "titled-units")
     unit_chat, messages, name = merge_exports(units, raw, stitch_mode, owner_override)
@@ -95,8 +95,7 @@ def build_archive(
     catalog = materialize(catalog, "media-catalog")
     linked = media.link_sources(messages, catalog)
 
-    counts = transcripts.line_counts(texts, date_order)
-    notes = exports.warnings.unionByName(transcripts.parse_warnings(counts, units, date_order))
+    notes = exports.warnings.unionByName(transcripts.parse_warnings(parsed.counts, units, date_order))
     return Archive(
         units=units,
         unit_chat=unit_chat,

@@ -176,25 +176,44 @@ def rendered_lines(v: DataFrame) -> DataFrame:
 
 
 def join_lines(lines: DataFrame) -> DataFrame:
-    """Lines to one text per unit; a simulated unit has a bounded number of lines."""
+    """Lines to one text per unit, for units of a bounded number of lines."""
     ordered = F.array_sort(F.collect_list(F.struct("msg_no", "line")))
     return lines.groupBy("unit_idx").agg(
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content")
     )
 
 
+def split_lines(lines: DataFrame, numbers: int) -> DataFrame:
+    """``unit_idx, split_no, content``: the lines of so many message numbers in a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("msg_no", "line")))
+    return lines.groupBy("unit_idx", F.floor(F.col("msg_no") / numbers).cast("bigint").alias("split_no")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content")
+    )
+
+
+def split_transcripts(v: DataFrame) -> DataFrame:
+    """Simulated transcripts in short splits, also cut within a message of several lines."""
+    lines = rendered_lines(v).select("unit_idx", "msg_no", F.posexplode(F.split("line", "\n")).alias("at", "line"))
+    numbered = lines.select(
+        "unit_idx", (F.col("msg_no") * 2 + F.when(F.col("at") > 0, 1).otherwise(0)).alias("part"), "at", "line"
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("at", "line")))
+    return numbered.groupBy("unit_idx", F.col("part").cast("bigint").alias("split_no")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content")
+    )
+
+
 def transcripts(v: DataFrame) -> DataFrame:
     return join_lines(rendered_lines(v))
 
 
-#: Event numbers per simulated transcript block; bounds the length of a transcript.
-EVENT_BLOCK = 10_000
+#: Event numbers of a split of a simulated transcript.
+EVENTS_OF_SPLIT = 20_000
 
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as chat lines; each user writes dates in one of three orders."""
+    """Events as chat lines, a transcript per user, who writes dates in one of three orders."""
     events = table(spark, folder, "events")
-    block = F.floor(F.col("event_id") / EVENT_BLOCK)
     style = F.col("user_id") % 3
     stamp = (
         F.when(style == 0, F.date_format("ts", "dd/MM/yyyy, HH:mm:ss"))
@@ -202,7 +221,7 @@ def event_lines(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.date_format("ts", "yyyy-MM-dd, HH:mm:ss"))
     )
     return events.select(
-        (block * 1_000_000 + F.col("user_id")).cast("bigint").alias("unit_idx"),
+        F.col("user_id").cast("bigint").alias("unit_idx"),
         F.col("event_id").alias("msg_no"),
         F.concat(F.lit("["), stamp, F.lit("] User: "), "event_type").alias("line"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlake.plans.fixtures import EVENT_BLOCK, OWNER
+from threadlake.plans.fixtures import OWNER
 from threadlake.plans.queries import EXTENSIONS, SEARCH_TERM
 
 GROUP_NOTICE = (
@@ -362,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "date_order_sniff": f"""
 WITH s AS (
-  SELECT (event_id // {EVENT_BLOCK}) * 1000000 + user_id AS unit_idx, user_id % 3 AS style,
+  SELECT CAST(user_id AS BIGINT) AS unit_idx, user_id % 3 AS style,
          date_trunc('second', ts) AS ts FROM events
 ),
 o AS (

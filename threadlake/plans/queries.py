@@ -299,7 +299,7 @@ def archive_title(spark, folder):
 @query
 def parse_roundtrip(spark, folder):
     v = fx.simulated(spark, folder)
-    return P.parse_messages(fx.transcripts(v), "dmy").select(
+    return P.parse_splits(fx.split_transcripts(v), "dmy").messages.select(
         "unit_idx",
         "msg_no",
         "ts",
@@ -314,11 +314,10 @@ def parse_roundtrip(spark, folder):
 
 @query
 def date_order_sniff(spark, folder):
-    texts = fx.join_lines(fx.event_lines(spark, folder))
-    orders = P.line_counts(texts).select("unit_idx", "date_order", "ambiguous")
+    parsed = P.parse_splits(fx.split_lines(fx.event_lines(spark, folder), fx.EVENTS_OF_SPLIT))
+    orders = parsed.counts.select("unit_idx", "date_order", "ambiguous")
     spans = (
-        P.parse_messages(texts)
-        .groupBy("unit_idx")
+        parsed.messages.groupBy("unit_idx")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("ts").alias("first_ts"),
@@ -436,11 +435,11 @@ def parse_warnings(spark, folder):
         F.col("turn").alias("msg_no"),
         F.when(loose, F.concat(F.lit("x "), word)).otherwise(F.concat(stamp, word)).alias("line"),
     )
-    texts = fx.join_lines(lines)
-    labels = texts.select(
+    texts = fx.split_lines(lines, 2)
+    labels = texts.select("unit_idx").distinct().select(
         "unit_idx", F.concat(F.lit("t"), F.col("unit_idx").cast("string"), F.lit(".txt")).alias("label")
     )
-    return P.parse_warnings(P.line_counts(texts), labels)
+    return P.parse_warnings(P.parse_splits(texts).counts, labels)
 
 
 # --- names and archives ------------------------------------------------------------------------
