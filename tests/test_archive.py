@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,10 +226,10 @@ def test_days_and_pages(spark):
 
 def test_documents(made):
     units, unit_chat, messages, chats, name = made
-    pages = K.chat_documents(messages, chats, C.participants(messages), unit_chat, 2).orderBy("chat_rank", "page").collect()
+    pages = K.chat_documents(messages, chats, C.participants(messages), unit_chat, 80).orderBy("chat_rank", "page").collect()
     docs = [json.loads(p.document) for p in pages]
     ana = [d for d in docs if d["id"] == "ana"]
-    assert [len(d["msgs"]) for d in ana] == [2, 2] and ana[0]["people"] == ["Rui", "Ana"] and ana[0]["sources"] == [0]
+    assert [len(d["msgs"]) for d in ana] == [2, 1, 1] and ana[0]["people"] == ["Rui", "Ana"] and ana[0]["sources"] == [0]
     assert ana[0]["msgs"][0] == {"t": 1773129600, "w": 1, "b": "hello *world*", "r": [0]}
     assert ana[1]["msgs"][0] == {
         "t": 1773129720, "w": 0, "k": "m", "o": 1, "r": [0],
@@ -249,11 +250,19 @@ def test_tables_on_disk(made, spark, tmp_path):
     T.write_archive(archive, str(tmp_path / "a"), buckets=4)
     back = T.read_table(spark, str(tmp_path / "a"), "messages")
     assert back.count() == messages.count()
-    one = T.read_chat(spark, str(tmp_path / "a"), 2, buckets=4)
-    assert one.count() == 4
-    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
-    T.write_documents(archive.documents(2), str(tmp_path / "d"))
-    assert spark.read.json(str(tmp_path / "d")).count() == archive.documents(2).count()
+    def rows(frame):
+        return sorted((r.chat_id, r.msg_idx, r.text) for r in frame.collect())
+
+    one = T.read_chat(spark, str(tmp_path / "a"), 2)
+    assert one.columns == messages.columns and rows(one) == rows(messages.filter("chat_id = 2")) and one.count() == 4
+    assert len(one.inputFiles()) == 1 < len(T.read_table(spark, str(tmp_path / "a"), "messages").inputFiles())
+    assert rows(T.read_chat(spark, str(tmp_path / "a"), 2, 1, 2)) == rows(messages.filter("chat_id = 2 AND msg_idx BETWEEN 1 AND 2"))
+    assert T.read_chat(spark, str(tmp_path / "a"), 77).collect() == [] == T.read_chat(spark, str(tmp_path / "a"), 2, 50).collect()
+    linked = T.read_link(spark, str(tmp_path / "a"), "eva", 1)
+    assert linked.first().text == "morning" and linked.first().title == "Eva" and len(linked.inputFiles()) == 1
+    assert T.read_link(spark, str(tmp_path / "a"), "nobody", 1).collect() == []
+    T.write_documents(archive.documents(80), str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d")).count() == archive.documents(80).count()
     assert dedup.merge_stats(back).first().messages == 11
     with pytest.raises(ValueError):
         T.read_table(spark, str(tmp_path / "a"), "odd")
@@ -262,3 +271,32 @@ def test_tables_on_disk(made, spark, tmp_path):
 def test_deep_link(made):
     _, _, messages, chats, _ = made
     assert V.deep_link(messages, chats, "eva", 1).first().text == "morning"
+
+
+def test_pages_are_balanced_by_weight(made, spark):
+    """Messages of very different lengths, and one that is longer than a page."""
+    rng = random.Random(4)
+    texts = ["x" * (40_000 if i == 30 else rng.choice([0, 5, 900])) for i in range(80)]
+    _, unit_chat, messages, chats, _ = made
+    one = messages.filter("chat_id = 2 AND msg_idx = 0").drop("msg_idx", "text")
+    frame = spark.createDataFrame(list(enumerate(texts)), "msg_idx bigint, text string")
+    many = one.withColumn("x", F.lit(1)).join(frame.withColumn("x", F.lit(1)), "x").select(*messages.columns)
+    pages = K.chat_documents(many, chats, C.participants(many), unit_chat, 2000).filter("chat_id = 2").orderBy("page").collect()
+    docs = [json.loads(p.document) for p in pages]
+    assert [m.get("b", "") for d in docs for m in d["msgs"]] == texts
+    sizes = [sum(len(json.dumps(m)) for m in d["msgs"]) for d in docs]
+    assert len(docs) > 10 and sorted(sizes)[-2] < 2000 + 1100 and [d["page"] for d in docs] == sorted(d["page"] for d in docs)
+
+
+def test_pages_of_the_archive(made, spark):
+    units, _, _, chats, name = made
+    notes = spark.createDataFrame(
+        [(2, "b", "second"), (None, "a", "of no export"), (2, "a", "first")], "unit_idx bigint, code string, message string"
+    )
+    docs = [json.loads(r.document) for r in K.archive_documents(chats, units, notes, name, page_bytes=30).orderBy("page").collect()]
+    assert len(docs) > 1 and {d["owner"] for d in docs} == {"Rui"} and {d["n_sources"] for d in docs} == {3}
+    labels = [r.label for r in units.orderBy("source_idx").select("source_idx", "label").distinct().orderBy("source_idx").collect()]
+    assert [s for d in docs for s in d["sources"]] == labels
+    assert [n["message"] for d in docs for n in d["notes"]] == ["of no export", "first", "second"]
+    bare = K.archive_documents(chats.limit(0), units.limit(0), notes.limit(0), None, "Empty").collect()
+    assert [json.loads(r.document)["title"] for r in bare] == ["Empty"]

@@ -34,15 +34,19 @@ class Archive:
     def media_report(self) -> DataFrame:
         return media.media_report(self.messages, self.media_catalog)
 
-    def documents(self, page_rows: int = K.PAGE_ROWS, embed: bool = False) -> DataFrame:
+    def documents(self, page_bytes: int = K.PAGE_BYTES, embed: bool = False) -> DataFrame:
         """JSON pages; ``embed`` repeats the bytes of inlined files in every message."""
         messages = self.messages
         if embed:
             messages = media.link_sources(messages, self.media_catalog, embed=True)
         return K.chat_documents(
-            messages, self.chats, self.participants, self.unit_chat, page_rows
+            messages, self.chats, self.participants, self.unit_chat, page_bytes
         )
 
+    def archive_documents(self, title: str | None = None, page_bytes: int = K.PAGE_BYTES) -> DataFrame:
+        """JSON pages of the archive as a whole: sources and notes."""
+        return K.archive_documents(self.chats, self.units, self.warnings, self.owner, title, page_bytes)
+
     def header(self, title: str | None = None) -> DataFrame:
         return K.archive_header(self.chats, self.units, self.owner, title)
 

@@ -695,6 +695,28 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                  array_to_string(m.sources, ',') AS r
                FROM m LEFT JOIN people pe ON m.conv_id = pe.conv_id AND m.sender = pe.sender""",
         ),
+        "chat_documents": _with(
+            CHATS,
+            f"""SELECT m.conv_id AS chat_id, m.msg_idx, c.title, CAST(epoch(m.ts) AS BIGINT) AS t,
+                 coalesce(pe.person_idx, -1) AS w,
+                 CASE m.kind WHEN 'system' THEN 'y' WHEN 'media' THEN 'm' END AS k,
+                 nullif(m.text, '') AS b,
+                 CASE WHEN m.kind = 'media' THEN CASE WHEN m.omitted THEN 'missing' ELSE 'image' END END AS file_kind,
+                 m.filename AS file,
+                 CASE WHEN m.sender = '{OWNER}' THEN 1 ELSE 0 END AS o,
+                 array_to_string(m.sources, ',') AS r
+               FROM m JOIN chat c ON c.chat_id = m.conv_id
+               LEFT JOIN people pe ON m.conv_id = pe.conv_id AND m.sender = pe.sender""",
+        ),
+        "archive_documents": _with(
+            PROFILES,
+            f"""SELECT part, row_number() OVER (PARTITION BY part ORDER BY unit_idx) - 1 AS nth, entry, 'All' AS title,
+                 '{OWNER}' AS owner, (SELECT count(DISTINCT label) FROM v) AS n_sources
+               FROM (SELECT 'sources' AS part, min(unit_idx) AS unit_idx, label AS entry FROM v GROUP BY label
+                     UNION ALL
+                     SELECT 'notes', unit_idx, concat(unit_idx, '|short|', title, ' is short')
+                     FROM profile WHERE n_messages < 3)""",
+        ),
         "jumbo": """
 SELECT conv_id, turn, turn % 4 IN (0, 3) AS jumbo, false AS text_jumbo FROM conversations""",
         "stamps_and_sizes": """

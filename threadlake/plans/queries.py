@@ -10,7 +10,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import display as D
@@ -717,9 +717,52 @@ def payload_codes(spark, folder):
 
 @query
 def chat_documents(spark, folder):
+    """The JSON pages of all chats, read back: messages by their place behind the earlier pages."""
     messages, unit_chat = _messages(spark, folder)
-    return K.chat_documents(
-        _with_owner(messages), _chats(messages, unit_chat), C.participants(messages), unit_chat, 4
+    pages = K.chat_documents(
+        _with_owner(messages), _chats(messages, unit_chat), C.participants(messages), unit_chat, 400
+    )
+    schema = f"id string, title string, people array<string>, sources array<bigint>, msgs array<{K.MESSAGE_JSON}>"
+    read = pages.select("chat_id", "page", F.from_json("document", schema).alias("d"))
+    earlier = Window.partitionBy("chat_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    placed = read.withColumn("before", F.coalesce(F.sum(F.size("d.msgs")).over(earlier), F.lit(0)))
+    return placed.select("chat_id", "before", "d.title", F.posexplode("d.msgs").alias("at", "item")).select(
+        "chat_id",
+        (F.col("before") + F.col("at")).alias("msg_idx"),
+        "title",
+        "item.t",
+        F.coalesce("item.w", F.lit(-1).cast("bigint")).alias("w"),
+        "item.k",
+        "item.b",
+        F.col("item.a.k").alias("file_kind"),
+        F.nullif("item.a.n", F.lit("")).alias("file"),
+        F.coalesce("item.o", F.lit(0)).alias("o"),
+        joined("item.r").alias("r"),
+    )
+
+
+@query
+def archive_documents(spark, folder):
+    """The JSON pages above all chats, read back: labels of sources and notes by their place."""
+    v = fx.simulated(spark, folder)
+    messages, unit_chat = _messages(spark, folder)
+    units = S.number_sources(fx.units(v).drop("source_idx"))
+    few = _profiles(spark, folder)[1].filter("n_messages < 3")
+    notes = few.select("unit_idx", F.lit("short").alias("code"), F.concat("title", F.lit(" is short")).alias("message"))
+    pages = K.archive_documents(_chats(messages, unit_chat), units, notes, fx.OWNER, "All", 300)
+    schema = f"title string, owner string, n_sources bigint, page bigint, sources array<string>, notes array<{K.NOTE_JSON}>"
+    read = pages.select(F.from_json("document", schema).alias("d")).select("d.*")
+
+    def entries(name: str, what: Column) -> DataFrame:
+        earlier = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        placed = read.withColumn("before", F.coalesce(F.sum(F.size(name)).over(earlier), F.lit(0)))
+        return placed.select("before", "title", "owner", "n_sources", F.posexplode(name).alias("at", "item")).select(
+            F.lit(name).alias("part"), (F.col("before") + F.col("at")).alias("nth"), what.alias("entry"),
+            "title", "owner", "n_sources",
+        )
+
+    return entries("sources", F.col("item")).unionByName(
+        entries("notes", F.concat_ws("|", F.col("item.unit").cast("string"), "item.code", "item.message"))
     )
 
 

@@ -1,4 +1,9 @@
-"""Flat Parquet tables: the primary form of an archive on disk."""
+"""Flat Parquet tables: the primary form of an archive on disk.
+
+Beside the messages lies a manifest: which places of which chat each file holds, sorted by
+chat.  Whoever wants a chat, or a few of its messages, reads from it the names of the
+files to open, so nothing has to know how messages were dealt to files.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,8 @@ from pyspark.sql import functions as F
 #: Message files are grouped by chat, so that reading a chat opens few of them.
 BUCKETS = 64
 
+MANIFEST = "messages_manifest"
+
 TABLES = ("units", "unit_chat", "messages", "chats", "participants", "media_catalog", "media_content", "warnings")
 
 
@@ -23,10 +30,25 @@ def write_archive(archive, folder: str, buckets: int = BUCKETS, mode: str = "err
                 "bucket", "chat_id", "msg_idx"
             )
             writer.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/{name}")
+            _write_manifest(table.sparkSession, folder, mode)
         else:
             writer.write.mode(mode).parquet(f"{folder}/{name}")
 
 
+def _write_manifest(spark: SparkSession, folder: str, mode: str) -> None:
+    """A row for each chat in each file of messages, from the files as they are.
+
+    Names are relative, so the archive may be moved.
+    """
+    stored = spark.read.parquet(f"{folder}/messages")
+    file = F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0)
+    held = stored.groupBy("chat_id", file.alias("file")).agg(
+        F.min("msg_idx").alias("first_idx"), F.max("msg_idx").alias("last_idx"), F.count(F.lit(1)).alias("n")
+    )
+    # Sorted, so that statistics of the manifest's own row groups rule most of them out.
+    held.orderBy("chat_id", "first_idx").write.mode(mode).parquet(f"{folder}/{MANIFEST}")
+
+
 def write_documents(documents: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """One JSON text line per page, in archive order."""
     documents.orderBy("chat_rank", "page").select("document").write.mode(mode).text(folder)
@@ -39,8 +61,27 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return table.drop("bucket")
 
 
-def read_chat(spark: SparkSession, folder: str, chat_id: int, buckets: int = BUCKETS) -> DataFrame:
-    """Messages of one chat; only the files of its bucket are opened."""
-    bucket = F.pmod(F.hash(F.lit(chat_id).cast("bigint")), F.lit(buckets))
-    table = spark.read.parquet(f"{folder}/messages")
-    return table.filter((F.col("bucket") == bucket) & (F.col("chat_id") == chat_id)).drop("bucket")
+def read_chat(
+    spark: SparkSession, folder: str, chat_id: int, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """Messages of one chat, from place ``first`` to ``last``; only files that hold some are opened."""
+    held = spark.read.parquet(f"{folder}/{MANIFEST}").filter(F.col("chat_id") == chat_id)
+    wanted = F.col("chat_id") == chat_id
+    if first is not None:
+        held, wanted = held.filter(F.col("last_idx") >= first), wanted & (F.col("msg_idx") >= first)
+    if last is not None:
+        held, wanted = held.filter(F.col("first_idx") <= last), wanted & (F.col("msg_idx") <= last)
+    # The names of one chat's files, a name for each hundred thousand messages.
+    files = [f"{folder}/messages/{r.file}" for r in held.select("file").distinct().collect()]
+    whole = spark.read.parquet(f"{folder}/messages").drop("bucket")
+    if not files:
+        return whole.filter(F.lit(False))
+    return spark.read.schema(whole.schema).parquet(*files).filter(wanted)
+
+
+def read_link(spark: SparkSession, folder: str, key: str, index: int) -> DataFrame:
+    """The message that a ``key/index`` link points at, with its chat's title."""
+    chat = read_table(spark, folder, "chats").filter(F.col("key") == key).select("chat_id", "title").first()
+    if chat is None:
+        return read_chat(spark, folder, -1, index, index).withColumn("title", F.lit(None).cast("string"))
+    return read_chat(spark, folder, chat.chat_id, index, index).withColumn("title", F.lit(chat.title))
