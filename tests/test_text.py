@@ -132,6 +132,7 @@ def test_plain_text(spark):
         "*_both_*", "_*both*_", "~*x*~", "`*c*` and *b*", "*see `x y` now*", "```\nkeep *this*\n``` *b*",
         "https://a.b/_x_y_ _i_", "*see https://a.b/c*", "_a_ _b_ _c_", "*a* *b*", "snake_case_name", "2*3*4", "",
         "***", "%%% a*** b###", "*a `b*", "``` `", "*x*<b", "_a_https://x.y/z", "plain",
+        "x\ue000y\ue001*b*\ue002 \ue003*c*", "*\ue004a\ue000* `\ue001*k*` \ue004", "\ue000", "https://a.b/\ue000_x_\ue003y *b*",
     ]
     assert values(spark, D.plain_text, rows) == [markup_free(r) for r in rows]
 

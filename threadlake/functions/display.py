@@ -68,9 +68,11 @@ def links(text: Column) -> Column:
     )
 
 
-#: Private-use delimiters around code and around links.
-_CODE_START, _CODE_END, _LINK_START, _LINK_END = (chr(c) for c in range(0xE000, 0xE004))
+#: Private-use delimiters around code and around links, and what stands for these in a body.
+_CODE_START, _CODE_END, _LINK_START, _LINK_END, _ESCAPE = (chr(c) for c in range(0xE000, 0xE005))
 _FENCES = _CODE_START + _CODE_END + _LINK_START + _LINK_END
+#: The escape itself first, so that it can be undone last.
+_ESCAPED = [(_ESCAPE, f"{_ESCAPE}e"), *((c, f"{_ESCAPE}{x}") for c, x in zip(_FENCES, "abcd"))]
 _CODE = f"{_CODE_START}[^{_CODE_END}]*{_CODE_END}"
 _LINK = f"{_LINK_START}[^{_LINK_END}]*{_LINK_END}"
 
@@ -81,7 +83,7 @@ def plain_text(text: Column) -> Column:
     Code and links are fenced first.  A markup pair may enclose code but not a
     link, and nothing inside a fence is touched.
     """
-    fenced = F.translate(text, _FENCES, "")
+    fenced = _replace_all(text, _ESCAPED)
     fenced = F.regexp_replace(
         fenced,
         f"{p.CODE_BLOCK}|{p.CODE_SPAN}",
@@ -91,8 +93,17 @@ def plain_text(text: Column) -> Column:
     for mark in p.INLINE_MARKS:
         fenced = _unmark(fenced, f"\\{mark}")
     # Most bodies hold no markup character at all.
-    has_markup = text.rlike(f"[`{_FENCES}{''.join(p.INLINE_MARKS)}]")
-    return F.when(has_markup, F.translate(fenced, _FENCES, "")).otherwise(text)
+    has_markup = text.rlike(f"[`{''.join(p.INLINE_MARKS)}]")
+    bare = _replace_all(F.translate(fenced, _FENCES, ""), [(new, old) for old, new in reversed(_ESCAPED)])
+    return F.when(has_markup, bare).otherwise(text)
+
+
+def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """The replacements one after the other; bodies hardly ever hold any of the characters."""
+    out = text
+    for old, new in pairs:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(F.contains(text, F.lit(_ESCAPE)) | text.rlike(f"[{_FENCES}]"), out).otherwise(text)
 
 
 def _unmark(text: Column, mark: str) -> Column:

@@ -47,6 +47,19 @@ class Stitched:
     edges: DataFrame
 
 
+def set_fingerprint(member: Column) -> Column:
+    """An aggregate that is equal for equal sets of distinct members, null without any.
+
+    The number of members with the sum and the exclusive or of two independent hashes: all three
+    are merged before a shuffle, so a set of any size is a few numbers and never
+    a list.  Unlike sets agree in all of them once in about 2 ** 124 pairs.
+    """
+    first_bits = F.conv(F.substring(F.sha2(member, 256), 1, 15), 16, 10).cast("decimal(20, 0)")
+    mixed = F.bit_xor(F.when(member.isNotNull(), F.xxhash64(member)))
+    parts = [F.count(member), F.sum(first_bits), mixed]
+    return F.when(F.count(member) > 0, F.sha1(F.concat_ws(" ", *[x.cast("string") for x in parts]).cast("binary")))
+
+
 def unit_profiles(units: DataFrame, raw: DataFrame) -> DataFrame:
     """Per export: normal title, caseless people, and whether it looks like a group."""
     notice = (F.col("kind") == "system") & F.col("text").rlike(p.GROUP_HINTS)
@@ -54,15 +67,17 @@ def unit_profiles(units: DataFrame, raw: DataFrame) -> DataFrame:
     per_sender = raw.groupBy("unit_idx", sender.alias("sender")).agg(
         F.max(notice).alias("noticed"), F.count(F.lit(1)).alias("n")
     )
-    per_unit = per_sender.groupBy("unit_idx").agg(
-        F.array_sort(F.collect_set(X.casefold(F.col("sender")))).alias("_people"),
-        F.count("sender").alias("n_senders"),
+    # One row for each person: spellings that differ in case only are one.
+    per_person = per_sender.groupBy("unit_idx", X.casefold(F.col("sender")).alias("person")).agg(
+        F.count("sender").alias("spellings"), F.max("noticed").alias("noticed"), F.sum("n").alias("n")
+    )
+    per_unit = per_person.groupBy("unit_idx").agg(
+        set_fingerprint(F.col("person")).alias("_people"),
+        F.sum("spellings").alias("n_senders"),
         F.max("noticed").alias("_noticed"),
         F.sum("n").alias("n_messages"),
     )
-    people = F.when(
-        F.size("_people") > 0, F.sha1(F.array_join("_people", "\x1f").cast("binary"))
-    )
+    people = F.col("_people")
     return (
         units.select("unit_idx", "title")
         .join(per_unit, "unit_idx", "left")

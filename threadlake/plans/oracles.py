@@ -533,6 +533,10 @@ FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
                FROM (SELECT *, length(concat(conv_id, '-', regexp_extract(filename, '-([0-9]+)[.]jpg$', 1)))
                        AS size FROM m WHERE kind = 'media')""",
         ),
+        "stored_messages": _with(
+            MERGED,
+            "SELECT conv_id AS chat_id, msg_idx, ts, sender, text FROM m WHERE conv_id = 7 AND msg_idx BETWEEN 1 AND 3",
+        ),
         "search_messages": _with(
             CHATS,
             f"""SELECT chat_rank, chat_id, title, msg_idx, ts, sender,
@@ -730,7 +734,7 @@ SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S') AS stamp, strftime(ts, '%H:%M
 FROM b""",
         "plain_text": r"""
 SELECT doc_id, CASE doc_id % 4
-  WHEN 0 THEN concat('bold text and ', text)
+  WHEN 0 THEN concat('bold text and ', chr(57344), 'x', chr(57345), chr(57348), 'a ', chr(57346), text)
   WHEN 1 THEN concat('slanted, gone *code* ', text)
   WHEN 2 THEN concat('block _x_', chr(10), text)
   ELSE text END AS text

@@ -25,6 +25,7 @@ from threadlake.plans import fixtures as fx
 from threadlake.plans.archive import merge_exports
 from threadlake.session import materialize, run_folder
 from threadlake.sinks import documents as K
+from threadlake.sinks import tables as T
 from threadlake.sources import exports as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,6 +562,15 @@ def media_report(spark, folder):
 # --- viewer queries ------------------------------------------------------------------------------
 
 
+@query
+def stored_messages(spark, folder):
+    """The second to fourth message of a chat, read from the files that the manifest names."""
+    messages, _ = _messages(spark, folder)
+    place = f"{run_folder(spark)}/stored-{uuid.uuid4().hex}"
+    T.write_messages(messages, place, buckets=8)
+    return T.read_chat(spark, place, 7, 1, 3).select("chat_id", "msg_idx", "ts", "sender", "text")
+
+
 @query
 def search_messages(spark, folder):
     messages, unit_chat = _messages(spark, folder)
@@ -785,7 +795,7 @@ def plain_text(spark, folder):
     docs = fx.table(spark, folder, "documents")
     style = F.col("doc_id") % 4
     marked = (
-        F.when(style == 0, F.concat(F.lit("*bold text* and "), "text"))
+        F.when(style == 0, F.concat(F.lit("*bold text* and \ue000x\ue001\ue004a \ue002"), "text"))
         .when(style == 1, F.concat(F.lit("_slanted_, ~gone~ `*code*` "), "text"))
         .when(style == 2, F.concat(F.lit("```\nblock _x_```\n"), "text"))
         .otherwise(F.col("text"))

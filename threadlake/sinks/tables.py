@@ -21,18 +21,20 @@ TABLES = ("units", "unit_chat", "messages", "chats", "participants", "media_cata
 def write_archive(archive, folder: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
     for name in TABLES:
         table: DataFrame = getattr(archive, name)
-        writer = table
         if name == "messages":
-            # The salt spreads a dominant chat over several files of its bucket.
-            salt = F.floor(F.col("msg_idx") / 100_000)
-            bucketed = table.withColumn("bucket", F.pmod(F.hash("chat_id"), F.lit(buckets)))
-            writer = bucketed.repartition("bucket", "chat_id", salt).sortWithinPartitions(
-                "bucket", "chat_id", "msg_idx"
-            )
-            writer.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/{name}")
-            _write_manifest(table.sparkSession, folder, mode)
+            write_messages(table, folder, buckets, mode)
         else:
-            writer.write.mode(mode).parquet(f"{folder}/{name}")
+            table.write.mode(mode).parquet(f"{folder}/{name}")
+
+
+def write_messages(messages: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
+    """The messages of an archive and the manifest of their files."""
+    # The salt spreads a dominant chat over several files of its bucket.
+    salt = F.floor(F.col("msg_idx") / 100_000)
+    bucketed = messages.withColumn("bucket", F.pmod(F.hash("chat_id"), F.lit(buckets)))
+    writer = bucketed.repartition("bucket", "chat_id", salt).sortWithinPartitions("bucket", "chat_id", "msg_idx")
+    writer.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/messages")
+    _write_manifest(messages.sparkSession, folder, mode)
 
 
 def _write_manifest(spark: SparkSession, folder: str, mode: str) -> None:
