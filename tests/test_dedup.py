@@ -57,6 +57,15 @@ def test_placeholders_pair_in_order(spark):
     ]
 
 
+def test_placeholder_of_the_same_export(spark):
+    gone, real = attachment(omitted=True), attachment("IMG-1.jpg")
+    for other, whole, apart in ((0, 1, 2), (1, 1, 1)):
+        rows = [row(0, 0, (12, 9, 0), "Me", "image omitted", gone), row(other, 1, (12, 9, 0), "Me", "", real)]
+        frame, chats = raw(spark, rows), one_chat(spark, (0, 1))
+        assert dedup.merge_messages(frame, chats).count() == whole
+        assert dedup.merge_messages(frame, chats, require_other_source=True).count() == apart
+
+
 def test_contact_cards_never_pair(spark):
     rows = [
         row(0, 0, (12, 9, 0), "Me", "x", attachment(omitted=True)),

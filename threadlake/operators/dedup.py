@@ -69,11 +69,12 @@ def collapse_copies(messages: DataFrame) -> DataFrame:
     )
 
 
-def pair_placeholders(collapsed: DataFrame) -> DataFrame:
+def pair_placeholders(collapsed: DataFrame, require_other_source: bool = False) -> DataFrame:
     """Let real attachments absorb "media omitted" placeholders of the same slot.
 
     In every minute and sender the i-th placeholder belongs to the i-th real
-    attachment, which takes over its sources.  One repartitioning by chat and
+    attachment, which takes over its sources.  With ``require_other_source`` a pair
+    that some export has both of is left as it is.  One repartitioning by chat and
     minute serves both windows here and the ordering that follows.
     """
     omitted = F.coalesce(F.col("attachment.omitted"), F.lit(False))
@@ -82,22 +83,26 @@ def pair_placeholders(collapsed: DataFrame) -> DataFrame:
     slot = ["chat_id", "minute", "who"]
     turn = Window.partitionBy(*slot, "_role").orderBy("first_unit", "first_no")
     pair = Window.partitionBy(*slot, "_turn")
+    joined = F.col("_lost").isNotNull() & F.col("_found").isNotNull()
+    if require_other_source:
+        joined &= ~F.arrays_overlap("_lost", "_found")
     return (
         collapsed.repartition("chat_id", "minute")
         .withColumn("_role", role)
         # Other messages get a turn of their own kind and so never pair.
         .withColumn("_turn", F.row_number().over(turn) * F.when(is_media, 1).otherwise(-1))
         .withColumn("_lost", F.max(F.when(F.col("_role") == 1, F.col("sources"))).over(pair))
-        .withColumn("_real", F.max(F.col("_role") == 2).over(pair))
-        .filter(~((F.col("_role") == 1) & F.col("_real")))
+        .withColumn("_found", F.max(F.when(F.col("_role") == 2, F.col("sources"))).over(pair))
+        .withColumn("_joined", F.coalesce(joined, F.lit(False)))
+        .filter(~((F.col("_role") == 1) & F.col("_joined")))
         .withColumn(
             "sources",
             F.when(
-                (F.col("_role") == 2) & F.col("_lost").isNotNull(),
+                (F.col("_role") == 2) & F.col("_joined"),
                 F.array_sort(F.array_union("sources", "_lost")),
             ).otherwise(F.col("sources")),
         )
-        .drop("_role", "_turn", "_lost", "_real")
+        .drop("_role", "_turn", "_lost", "_found", "_joined")
     )
 
 
@@ -113,14 +118,16 @@ def order_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def merge_messages(raw: DataFrame, unit_chat: DataFrame, ranked: bool = True) -> DataFrame:
+def merge_messages(
+    raw: DataFrame, unit_chat: DataFrame, ranked: bool = True, require_other_source: bool = False
+) -> DataFrame:
     """All of the above: export messages in, one ordered message table out.
 
     Without ``ranked`` the messages have no ``msg_idx`` and nothing is written on the
     way, so that aggregates over them read only the columns they use.
     """
     collapsed = collapse_copies(with_keys(assign_chats(raw, unit_chat)))
-    paired = pair_placeholders(collapsed)
+    paired = pair_placeholders(collapsed, require_other_source)
     return order_messages(paired) if ranked else paired
 
 
