@@ -19,6 +19,9 @@ from threadlake.llm.html_text import Extractor, trained
         ("<p>a <svg><text>no</text></svg>b <object><p>no</p><div>no</object>c</p><p>d</p>", ["a b c", "d"]),
         ("<ul><li>a<template><li>no</template> b<li>c</ul>", ["a b", "c"]),
         ("<object><video>no<object>no</object></object><p>a</p>", ["a"]),
+        ("<p>a <button>no</button>b</p><textarea>no <p>no</textarea><p>c</p>", ["a b", "c"]),
+        ("<label>no <input></label><select><option>no<option>no</select><p>a</p>", ["a"]),
+        ("<datalist><option>no</datalist><article><button><p>a</p></article><p>b</p>", ["a", "b"]),
         ("<script>x</script-y></p></SCRIPT ><p>a</p><style>rest <p>b</p>", ["a"]),
     ],
 )
@@ -36,5 +39,5 @@ def test_main_text_keeps_the_rest_of_the_article():
     page = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article>{}</article><footer><p>Foo.</p></footer></body></html>"
     want = "Big story\nFirst paragraph of it.\nOne more paragraph of it."
     extract = Extractor(trained()).text
-    for inner in ('<svg class="i"/>', "<object data=x>", "<video src=x>", "<svg><text>no</text></svg>"):
+    for inner in ('<svg class="i"/>', "<object data=x>", "<video src=x>", "<svg><text>no</text></svg>", "<textarea>hidden</textarea>"):
         assert extract(page.format(story.format(inner))) == want

@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 #: Elements whose content is no markup; without an end tag they run to the end of the page.
 RAW = frozenset("script style noscript title iframe".split())
 #: Other elements whose content is no text of the page, if they are closed within their parent.
-SKIPPED = frozenset("template svg math object canvas audio video".split())
+#: The controls of forms are among them, also outside of a form.
+SKIPPED = frozenset("template svg math object canvas audio video button datalist label select textarea".split())
 #: Those of them that may be empty elements, as may the raw ones within them.
 FOREIGN = frozenset("svg math".split())
 
