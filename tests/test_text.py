@@ -163,6 +163,14 @@ def test_sizes_and_percentages(spark):
     assert [r[0] for r in frame.select(D.percent(F.col("a"), F.col("b"))).collect()] == [13, 38, 0]
 
 
+def test_sizes_round_ties_to_even(spark):
+    sizes = [1_036_544, 1024 + 256, 1024 + 768, 191_102_976, (1 << 20) - 1, (3 << 30) + (1 << 28), (1 << 50) + (3 << 28), None]
+    frame = spark.createDataFrame([(n,) for n in sizes], "n bigint")
+    assert [r[0] for r in frame.select(D.human_bytes(F.col("n"))).collect()] == [
+        "1012.2 KB", "1.2 KB", "1.8 KB", "182.2 MB", "1024.0 KB", "3.2 GB", "1048576.8 GB", None,
+    ]
+
+
 @pytest.mark.parametrize(
     "when, label, stamp",
     [

@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from threadlake.functions import patterns as p
 
 
+def _one_decimal(amount: Column) -> Column:
+    """A number with one decimal, ties to the even digit; ``format_string`` would round them up."""
+    whole = F.floor(amount)
+    tenths = F.rint((amount - whole) * 10).cast("int")
+    return F.concat(F.when(tenths == 10, whole + 1).otherwise(whole).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def human_bytes(size: Column) -> Column:
+    """A size as the reference's ``human_size`` prints it; null stays null."""
     kb, mb, gb = (size / F.lit(float(1024**i)) for i in (1, 2, 3))
     return (
         F.when(size < 1024, F.concat(size.cast("bigint").cast("string"), F.lit(" B")))
-        .when(size < 1024**2, F.format_string("%.1f KB", kb))
-        .when(size < 1024**3, F.format_string("%.1f MB", mb))
-        .otherwise(F.format_string("%.1f GB", gb))
+        .when(size < 1024**2, F.concat(_one_decimal(kb), F.lit(" KB")))
+        .when(size < 1024**3, F.concat(_one_decimal(mb), F.lit(" MB")))
+        .otherwise(F.concat(_one_decimal(gb), F.lit(" GB")))
     )
 
 
